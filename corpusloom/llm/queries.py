@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import radix
+from corpusloom.llm import radix, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,7 +16,13 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of near copies."""
+    return simhash.near_groups(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_simhash_near_dedup": simhash_near_dedup,
     "op8_exact_dedup": exact_dedup,
 }
 
