@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import radix, simhash
+from corpusloom.llm import radix, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,7 +21,13 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
 
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity margin and verdict, by a classifier fitted on this table's labels."""
+    return toxicity.judged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_toxicity": toxic_documents,
     "op7_simhash_near_dedup": simhash_near_dedup,
     "op8_exact_dedup": exact_dedup,
 }
