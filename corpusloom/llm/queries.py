@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import radix, simhash, toxicity
+from corpusloom.llm import langid, radix, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,7 +26,13 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its predicted language, by a network fitted on this table's ``lang``."""
+    return langid.identified(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_language_id": language_id,
     "op1_toxicity": toxic_documents,
     "op7_simhash_near_dedup": simhash_near_dedup,
     "op8_exact_dedup": exact_dedup,
