@@ -6,17 +6,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import radix
+from corpusloom.llm import mixing, packing, radix, simhash, toxicity
 from corpusloom.llm.common import shared_dir
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of identical texts stays."""
     return radix.drop_exact(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.drop_near(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their collections want them."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training sequence and place of every document, or piece of one."""
+    return packing.packed(docs, mixing.token_count())
+
+
 STAGES = [
+    ("toxicity", clean),
     ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("mixing", mix),
+    ("packing", pack),
 ]
 
 #: Some stages fit models or follow a greedy order, which SQL can't express.
