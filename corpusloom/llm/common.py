@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SLAB_CHARS = 1_000_000
 #: Rows in an Arrow batch. Documents are long, so the default of 10,000 would hold too much text at once.
 ARROW_ROWS = 512
+#: A side of a join is broadcast if it is known to have at most so many rows, of a few hundred bytes; beyond, Spark shuffles.
+BROADCAST_ROWS = 50_000
 FID, ROW = "_loom_file", "_loom_row"
 
 
@@ -41,6 +43,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for broadcast if its number of rows, which the caller has counted, allows it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def anchored(df: DataFrame) -> DataFrame:
     """A DataFrame with the rows of ``df`` that reads them from files, so that each row has a lasting identity.
 

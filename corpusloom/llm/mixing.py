@@ -10,7 +10,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checkpoint
+from corpusloom.llm.common import checkpoint, small_side
 
 #: A document is used at most EPOCHS times. An epoch has SEGMENTS equal parts; each further part costs one more a token.
 EPOCHS, SEGMENTS = 4, 4
@@ -149,7 +149,7 @@ def bounds(docs: DataFrame, pattern: Column, tokens: Column, weights: Mapping[st
         over = "OVER (PARTITION BY pattern ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         before = by_range.withColumn("before", F.expr(f"coalesce(sum(n) {over}, 0)"))
         inside = checkpoint(wanted.join(before, "pattern").where("before < rest").groupBy("pattern", "rest").agg(F.max("bucket").alias("bucket"), F.max("before").alias("before")))
-        rows = slim.withColumn("bucket", F.shiftright("hash", shift)).join(inside.select("pattern", "bucket").distinct().hint("broadcast"), ["pattern", "bucket"])
+        rows = slim.withColumn("bucket", F.shiftright("hash", shift)).join(small_side(inside.select("pattern", "bucket").distinct(), len(cuts)), ["pattern", "bucket"])
         fine = rows.groupBy("pattern", "bucket", "hash").agg(F.sum("tokens").alias("n"))
         over = "OVER (PARTITION BY pattern, bucket ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         fine = fine.withColumn("prior", F.expr(f"coalesce(sum(n) {over}, 0)"))
@@ -174,9 +174,8 @@ def _joined(docs: DataFrame, pattern: Column | None, tokens: Column | None, weig
     small = docs.sparkSession.createDataFrame([(list(p), r) for p, r in ranges.items()], "pattern array<string>, ranges array<struct<c:string,k0:long,h0:long,k1:long,h1:long>>")
     pat, _, order = _prepared(docs, pattern, tokens, id_col, seed)
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), pat.alias("pattern"), order.alias("hash"))
-    # a row for each pattern, which the driver holds already; beyond the size that Spark broadcasts it shuffles
     uses = F.expr("filter(transform(ranges, r -> struct(r.c AS collection, r.k1 + int(hash < r.h1) - r.k0 - int(hash < r.h0) AS copies)), u -> u.copies > 0)")
-    return rows.join(small, "pattern").select("row", "hash", uses.alias("uses")).where("size(uses) > 0")
+    return rows.join(small_side(small, len(ranges)), "pattern").select("row", "hash", uses.alias("uses")).where("size(uses) > 0")
 
 
 def assigned(docs: DataFrame, pattern: Column | None = None, tokens: Column | None = None, weights: Mapping[str, float] | None = None, budget: float = 1.0, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
