@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import FID, ROW, anchored, stable_rows
+from corpusloom.llm.common import FID, ROW, anchored, small_side, stable_rows
 
 #: Hex digits of a digest that rules and URLs are joined on.
 PREFIX_HEX = 8
@@ -56,7 +56,7 @@ def filtered(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_co
     action, then the least action by name. A null URL, or one without a host, matches no rule. Rules with a null
     are left out, repeated rules count once. Repeated rows are decided each. Other columns are ignored, whatever
     their names. An empty table gives an empty result. Full digests are compared, so two expressions of one hash
-    prefix aren't mixed up. Rules are broadcast only if Spark finds them below its size limit.
+    prefix aren't mixed up. Rules are counted, and broadcast only if they are few.
     """
     pages = anchored(pages)
     host, path, query = parts(F.col(url_col))
@@ -66,7 +66,7 @@ def filtered(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_co
     each = each.select(FID, ROW, "e.*").withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.substring("digest", 1, PREFIX_HEX))
     known = rules.select("expression", "action").where("expression is not null and action is not null").distinct()
     known = known.select(F.col("expression").alias("rule"), "action", F.sha2("expression", 256).alias("full")).withColumn("short", F.substring("full", 1, PREFIX_HEX))
-    hits = each.join(known, "short").where("digest = full")
+    hits = each.join(small_side(known, known.count()), "short").where("digest = full")
     first = F.struct(F.col("h"), F.col("p"), (F.col("action") == "allow").alias("allow"), F.expr("transform(split(action, ''), c -> -ascii(c))").alias("least"), "rule", "action")
     best = hits.groupBy(FID, ROW).agg(F.max(first).alias("b")).select(FID, ROW, "b.rule", "b.action")
     joined = rows.join(best, [FID, ROW], "left")
