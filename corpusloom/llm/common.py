@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -38,8 +40,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ready_workers(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, if they have it nowhere else."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, as rows hold whole documents."""
+    ready_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -143,7 +154,18 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def with_roots(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of the components, the roots included."""
-    found = connected(edges)
-    return found.union(found.select(F.col("root").alias("node"), "root").distinct())
+def lowest_hashed(rows: DataFrame, group: str, key: str, many: int, seed: int) -> DataFrame:
+    """``group, key, order``: of each group the ``many`` rows of the lowest seeded hash of the key.
+
+    Groups are counted first; then only rows whose hash is below what so many rows need, with six standard
+    deviations to spare, are sorted, so that neither a task nor the driver gets more than a small multiple of them.
+    """
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1)
+    slim = rows.select(group, key, order.alias("order"))
+    counts = [(r[0], r[1]) for r in slim.groupBy(group).count().collect()]
+    enough = many + 6 * many**0.5 + 20
+    below = [(g, (1 << 63) - 1 if n <= enough else int((1 << 63) * enough / n)) for g, n in counts]
+    bounds = rows.sparkSession.createDataFrame(below, f"{group} {dict(rows.dtypes)[group]}, below long")
+    few = slim.join(small_side(bounds, len(below)), group).where("order <= below")
+    place = F.expr(f"row_number() OVER (PARTITION BY `{group}` ORDER BY order, `{key}`)")
+    return few.withColumn("_place", place).where(F.col("_place") <= many).select(group, key, "order")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checkpoint
+from corpusloom.llm.common import checkpoint, ready_workers
 
 #: Tokens that a sequence holds.
 CAPACITY = 8192
@@ -47,6 +47,7 @@ def packed(docs: DataFrame, tokens: Column, capacity: int = CAPACITY, linear: fl
     Null and empty texts have no tokens and are in no sequence. Other columns are ignored, whatever their
     names. An empty table gives an empty result.
     """
+    ready_workers(docs.sparkSession)
     slim = checkpoint(docs.select(docs[id_col].cast("long").alias("doc_id"), tokens.cast("long").alias("n")).where("n > 0"))
     total = slim.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-int(total) // group_tokens))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import FID, ROW, anchored, checkpoint, connected, stable_rows
+from corpusloom.llm.common import FID, ROW, anchored, checkpoint, connected, ready_workers, stable_rows
 
 #: Vectors of at least this cosine are near copies.
 COSINE = 0.9
@@ -153,6 +153,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, list_rows: int = LIST_
     either side.
     """
     spark = rows.sparkSession
+    ready_workers(spark)
     many = rows.count()
     if many < 2:
         return spark.createDataFrame([], "a long, b long")

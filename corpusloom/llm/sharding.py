@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import FID, ROW, anchored, shared_dir, stable_rows
+from corpusloom.llm.common import FID, ROW, anchored, ready_workers, shared_dir, stable_rows
 
 #: Rows of a source block and of a shard, at most.
 BLOCK_ROWS, SHARD_ROWS = 65_536, 8_192
@@ -50,6 +50,8 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
 
 def split(rng: np.random.Generator, shards: np.ndarray, draws: int) -> np.ndarray:
     """Multivariate hypergeometric: how many of ``draws`` fall on each shard's free places."""
+    if shards.sum() < 1_000_000_000:
+        return rng.multivariate_hypergeometric(shards, draws, method="marginals")
     out, rest = np.zeros(len(shards), np.int64), int(shards.sum())
     for j, free in enumerate(shards.tolist()):
         if not draws:
@@ -60,15 +62,23 @@ def split(rng: np.random.Generator, shards: np.ndarray, draws: int) -> np.ndarra
     return out
 
 
-def matrix_row(sizes: np.ndarray, shards: np.ndarray, block: int, seed: int) -> np.ndarray:
+def matrix_row(sizes: np.ndarray, shards: np.ndarray, block: int, seed: int, path: dict[tuple[int, int], np.ndarray] | None = None) -> np.ndarray:
     """Row ``block`` of the communication matrix. The blocks are halved again and again, each half's share of every
-    shard drawn with a generator of its own, so that any task finds any row alone and always the same."""
+    shard drawn with a generator of its own, so that any task finds any row alone and always the same. ``path``
+    keeps what was drawn on the way, for a block nearby."""
     total = np.r_[0, np.cumsum(sizes)]
     low, high, free = 0, len(sizes), shards
+    path = {} if path is None else path
+    for gone in [k for k in path if not k[0] <= block < k[1]]:
+        del path[gone]
     while high - low > 1:
         middle = (low + high) // 2
-        left = split(np.random.default_rng([seed, 1, low, high]), free, int(total[middle] - total[low]))
-        low, high, free = (low, middle, left) if block < middle else (middle, high, free - left)
+        child = (low, middle) if block < middle else (middle, high)
+        if child not in path:
+            left = split(np.random.default_rng([seed, 1, low, high]), free, int(total[middle] - total[low]))
+            path[child] = left if block < middle else free - left
+        free = path[child]
+        low, high = child
     return free
 
 
@@ -87,6 +97,7 @@ def sharded(docs: DataFrame, shard_rows: int = SHARD_ROWS, block_rows: int = BLO
     like any others. A column of the input that is called shard or position is replaced, in any case of letters.
     An empty table gives an empty result.
     """
+    ready_workers(docs.sparkSession)
     taken = {"shard", "position"}
     columns = [c for c in docs.columns if c.lower() not in taken]
     docs = anchored(docs)
@@ -112,12 +123,13 @@ def sharded(docs: DataFrame, shard_rows: int = SHARD_ROWS, block_rows: int = BLO
             i = index[int(key[0]), int(key[1])]
             if i not in drawn:
                 drawn.clear()
-                to = np.repeat(np.arange(len(shards)), matrix_row(sizes, shards, i, seed))
+                to = np.repeat(np.arange(len(shards)), matrix_row(sizes, shards, i, seed, path))
                 drawn[i] = to[np.random.default_rng([seed, 2, i]).permutation(int(sizes[i]))]
             out[at] = drawn[i][row[at] - block[at] * block_rows]
         return pd.Series(out)
 
     drawn: dict[int, np.ndarray] = {}
+    path: dict[tuple[int, int], np.ndarray] = {}
     rows = stable_rows(docs, F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
     rows = rows.withColumn("shard", target(FID, ROW)).withColumn("_order", F.xxhash64(F.lit(seed), FID, ROW))
     place = F.expr(f"row_number() OVER (PARTITION BY shard ORDER BY _order, {FID}, {ROW}) - 1").cast("long")
