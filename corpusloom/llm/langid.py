@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches
+from corpusloom.llm.common import lowest_hashed, small_batches
 
 #: Units of either direction, and the bytes that one recurrence runs over.
 HIDDEN, SPAN = 8, 128
@@ -203,13 +203,11 @@ def pooled(net: Network, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, steps: int = STEPS) -> Network:
     """Fit on documents whose ``lang`` is known: at most ``train_docs`` of each, by a seeded hash of the id."""
-    known = docs.where("lang is not null and text is not null and text <> ''").select("doc_id", "lang", "text")
-    order = F.xxhash64("doc_id", F.lit(10))
-    part = known.select("lang", F.struct(order.alias("h"), F.col("doc_id"), F.substring("text", 1, TRAIN_CHARS).alias("text")).alias("s"))
-    names = [r.lang for r in known.select("lang").distinct().collect()]
-    rows = []
-    for name in sorted(names):
-        rows += [(name, r.s.h, r.s.text) for r in part.where(F.col("lang") == name).orderBy("s").limit(train_docs).collect()]
+    known = docs.where("lang is not null and text is not null and text <> ''")
+    chosen = lowest_hashed(known.select("lang", "doc_id"), "lang", "doc_id", train_docs, 10).where("doc_id is not null")
+    texts = known.select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    # a few hundred rows a language; of repeated ids every row is fitted on
+    rows = sorted(tuple(r) for r in texts.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("lang", "order", "text").collect())
     return fit([r[2] for r in rows], [r[0] for r in rows], steps)
 
 
