@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SLAB_CHARS, slabs, small_batches, word_hashes
+from corpusloom.llm.common import SLAB_CHARS, lowest_hashed, slabs, small_batches, word_hashes
 from corpusloom.llm.simhash import MAX_BITS, fingerprints
 
 #: Subsequences have three letters within a span of REACH characters; each character of the span costs DECAY.
@@ -345,11 +345,7 @@ def _landmarks(symbols: np.ndarray, positive: np.ndarray, bad: np.ndarray, negat
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on the labelled documents: at most ``train_docs`` of either class, by a seeded hash of the id."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id", F.lit(20))
-    chosen = None
-    for side in (0, 1):
-        part = known.where(F.col("toxic") == side).orderBy(order, "doc_id").limit(train_docs)
-        chosen = part if chosen is None else chosen.union(part)
+    chosen = lowest_hashed(known, "toxic", "doc_id", train_docs, 20).select("doc_id", "toxic")
     rows = docs.select(F.col("doc_id"), F.col("text")).where("text is not null").join(chosen.hint("broadcast"), "doc_id").toPandas()
     rows = rows.sort_values(["doc_id", "text"], kind="stable")
     return fit(list(rows["text"]), rows["toxic"].to_numpy().astype(np.int64))
