@@ -230,12 +230,13 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
     owner = np.array(owner, np.int64)
     if not len(sentences) or labels.min(initial=1) == labels.max(initial=0):
         return Model(np.zeros(_SYMBOLS**3, np.float32), -1.0)
-    found = [text_windows(sentences[a:b]) for a, b in slabs(sentences)]
+    found = [text_windows(sentences[a:b])[:3] for a, b in slabs(sentences)]
     base = np.cumsum([0] + [b - a for a, b in slabs(sentences)])
     symbols, back = np.unique(np.concatenate([f[0] for f in found]), axis=0, return_inverse=True)
     offset = np.cumsum([0] + [len(f[0]) for f in found])
     which = back.ravel()[np.concatenate([f[1] + o for f, o in zip(found, offset, strict=False)])]
     sentence = np.concatenate([f[2] + o for f, o in zip(found, base, strict=False)])
+    del found, sentences
     doc = owner[sentence]
     toxic = labels[doc] == 1
     # documents of either class with each window
