@@ -1,4 +1,4 @@
-"""Near-deduplication: sampled SimHash lanes, joined on a grid of their segments' bit counts."""
+"""Near-deduplication: sampled SimHash lanes, joined on a dealt grid within a range of bits."""
 
 from __future__ import annotations
 
@@ -13,10 +13,10 @@ from corpusloom.llm.common import FID, ROW, SLAB_CHARS, anchored, checkpoint, co
 
 #: A fingerprint is LANES SimHashes of 64 bits, each of its own minwise sample of PICKS word pairs.
 LANES, PICKS = 8, 4
-#: A lane has 16 segments of 4 bits; their bit counts, 3 bits each, make its cell.
-SEGMENT = 4
 #: Two documents are near copies if at most this many of the 512 bits differ.
 MAX_BITS = 128
+#: Groups that nodes are dealt into, if they are not few; nodes in a group at most; fingerprints compared at a time.
+DEALS, DEAL_ROWS, TILE = 12, 200_000, (32, 4096)
 #: Votes of a lane's picks, by rank; no signed sum of the first few is zero.
 VOTES = np.array([8, 5, 4, 3])
 _SEEDS = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -119,80 +119,103 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def segment_counts(lanes: np.ndarray) -> np.ndarray:
-    """Bit counts of the 4-bit segments: shape (..., 16) of 0 to 4."""
-    shifts = np.arange(0, 64, SEGMENT, dtype=np.uint64)
-    return np.bitwise_count((lanes[..., None] >> shifts) & np.uint64((1 << SEGMENT) - 1)).astype(np.uint8)
+def near_pairs(one: np.ndarray, two: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of two sets of fingerprints that differ in at most ``max_bits`` bits, in portions.
 
-
-def cells(lanes: np.ndarray) -> np.ndarray:
-    """A lane's grid cell: its bit counts, packed."""
-    counts = segment_counts(lanes).astype(np.uint64)
-    return (counts << np.arange(0, 48, 3, dtype=np.uint64)).sum(axis=-1, dtype=np.uint64)
-
-
-def near(fps: np.ndarray, one: np.ndarray, max_bits: int) -> np.ndarray:
-    """Which fingerprints are within ``max_bits`` of ``one``: Manhattan bound on the bit counts, then the bits themselves."""
-    hits = np.zeros(len(fps), bool)
-    low = np.abs(segment_counts(fps).astype(np.int8) - segment_counts(one).astype(np.int8)).sum(axis=(1, 2), dtype=np.int32)
-    at = np.flatnonzero(low <= max_bits)
-    hits[at] = np.bitwise_count(fps[at] ^ one).sum(axis=1, dtype=np.int32) <= max_bits
-    return hits
-
-
-def links(fps: np.ndarray, ids: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Pairs that connect what near pairs connect, by a search over what isn't reached yet; a cell of copies takes one pass."""
-    found, left = [], np.arange(len(ids))
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            hit = near(fps[left], fps[at], max_bits)
-            reached = left[hit]
-            found += [(int(ids[at]), int(ids[x])) for x in reached]
-            queue += list(reached)
-            left = left[~hit]
+    The Manhattan distance of bit counts is at most the Hamming distance, so rows in order of their counts are
+    compared only within that range; of these, a pair over the bound in the first lanes already is dropped there.
+    """
+    counts = [np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (one, two)]
+    orders = [np.argsort(c, kind="stable") for c in counts]
+    low, high = (c[o] for c, o in zip(counts, orders, strict=True))
+    a, b = (np.ascontiguousarray(x[o].T) for x, o in zip((one, two), orders, strict=True))
+    head = min(LANES, max_bits // 32 + 1)
+    # a sum that overflows 8 bits is over 255; if it comes out low, the full comparison drops it
+    kind = np.uint8 if max_bits < 256 else np.uint16
+    bits, part, total = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8), np.empty(TILE, kind)
+    for s in range(0, len(one), TILE[0]):
+        e = min(s + TILE[0], len(one))
+        first, last = np.searchsorted(high, low[s] - max_bits), np.searchsorted(high, low[e - 1] + max_bits, "right")
+        for t in range(first, last, TILE[1]):
+            u = min(t + TILE[1], last)
+            x, c, sums = (buffer[: e - s, : u - t] for buffer in (bits, part, total))
+            sums[:] = 0
+            for lane in range(head):
+                np.bitwise_xor(a[lane, s:e, None], b[lane, None, t:u], out=x)
+                np.add(sums, np.bitwise_count(x, out=c), out=sums)
+            i, j = np.nonzero(sums <= max_bits)
+            if len(i):
+                i, j = orders[0][i + s], orders[1][j + t]
+                hit = np.bitwise_count(one[i] ^ two[j]).sum(axis=1, dtype=np.int32) <= max_bits
+                yield i[hit], j[hit]
+
+
+def links(fps: np.ndarray, low: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Edges that connect rows as the near pairs between rows of ``low`` and the others do; as all near pairs do if ``low`` holds everywhere."""
+    parent, found = np.arange(len(fps)), []
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        top = parent[x]
+        while (parent[top] != top).any():
+            top = parent[top]
+        parent[x] = top
+        return top
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return int(x)
+
+    one = np.flatnonzero(low)
+    two = one if low.all() else np.flatnonzero(~low)
+    for i, j in near_pairs(fps[one], fps[two], max_bits):
+        p, q = roots(one[i]), roots(two[j])
+        apart = np.unique(np.stack([p, q])[:, p != q], axis=1)
+        for x, y in apart.T.tolist():
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((x, y))
     return found
 
 
-def _cell_links(max_bits: int):
+def _deal_links(max_bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = (rest["lane"] == rest["lane"].iat[-1]) & (rest["cell"] == rest["cell"].iat[-1])
-            yield from within(rest[~last])
-            rest = rest[last]
-        if rest is not None:
-            yield from within(rest)
-
-    def within(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if len(rows) < 2:
+        parts = [batch for batch in batches if len(batch)]
+        if not parts:
             return
+        rows = pd.concat(parts, ignore_index=True)
         fps = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(-1, LANES)
-        ids, lane, cell = (rows[c].to_numpy() for c in ("node", "lane", "cell"))
-        starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (lane[1:] != lane[:-1])])
-        sizes = np.diff(np.r_[starts, len(ids)])
-        two = starts[sizes == 2]
-        a, b = fps[two], fps[two + 1]
-        low = np.abs(segment_counts(a).astype(np.int8) - segment_counts(b).astype(np.int8)).sum(axis=(1, 2), dtype=np.int32) <= max_bits
-        two = two[low & (np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32) <= max_bits)]
-        pairs = [(int(ids[x]), int(ids[x + 1])) for x in two]
-        for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            pairs += links(fps[s : s + n], ids[s : s + n], max_bits)
-        if pairs:
-            yield pd.DataFrame(pairs, columns=["a", "b"])
+        ids, deal = rows["node"].to_numpy(), rows["deal"].to_numpy()
+        if deal.min() == deal.max() and not rows["twin"].iat[0]:
+            return
+        pairs = np.array(links(fps, deal == deal.min(), max_bits), np.int64).reshape(-1, 2)
+        yield pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
     return run
 
 
+def near_edges(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``a, b``: edges that connect the nodes (node long, fp binary, all distinct) as all pairs within ``max_bits`` do.
+
+    Nodes are dealt into groups by their hash, and a task joins two groups, or one with itself, by
+    ``near_pairs``. So each pair of nodes meets in one task for certain, and the work is quadratic in the nodes.
+    """
+    many = nodes.count()
+    deals = max(-(-many // DEAL_ROWS), min(-(-many // 4096), DEALS), 1)
+    dealt = nodes.select("node", "fp", F.pmod("node", F.lit(deals)).alias("deal"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("other"))
+    high, low = F.greatest("deal", "other"), F.least("deal", "other")
+    task = (F.expr("greatest(deal, other) * (greatest(deal, other) + 1) div 2") + low).cast("int")
+    placed = dealt.select("node", "fp", "deal", (high == low).alias("twin"), task.alias("task"))
+    parts = placed.repartitionById(deals * (deals + 1) // 2, F.col("task"))
+    return parts.mapInPandas(_deal_links(max_bits), "a long, b long")
+
+
 def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """Rows of an anchored DataFrame that have a near copy: row identity, ``id``, ``root``, the same in a group.
 
-    Rows of one fingerprint become one node. A node is sent to the cells of its lanes; within a cell, nodes
-    whose Manhattan distance of bit counts, a lower bound of the Hamming distance, is at most ``max_bits``
-    are compared bit by bit. Pairs with fewer than LANES differing bits share a lane's cell for certain,
-    others with a probability that falls with distance (see the README for measured recall).
+    Rows of one fingerprint become one node. All nodes with at most ``max_bits`` differing bits are near
+    copies, whatever lanes these lie in (see ``near_edges``).
     """
     small_batches(docs.sparkSession)
 
@@ -203,16 +226,8 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     rows = stable_rows(docs, F.col(id_col).alias("id"), sketch(text_col).alias("fp")).where("fp is not null")
     rows = checkpoint(rows)
-    nodes = rows.groupBy("fp").agg(F.count("*").alias("copies")).withColumn("node", F.xxhash64("fp"))
-
-    @F.pandas_udf("array<long>")
-    def grid(fp: pd.Series) -> pd.Series:
-        lanes = np.frombuffer(b"".join(fp), np.uint64).reshape(-1, LANES)
-        return pd.Series(list(cells(lanes).astype(np.int64)), dtype=object)
-
-    placed = nodes.select("node", "fp", F.posexplode(grid("fp")).alias("lane", "cell"))
-    parts = placed.repartition("lane", "cell").sortWithinPartitions("lane", "cell", "node")
-    edges = parts.mapInPandas(_cell_links(max_bits), "a long, b long")
+    nodes = checkpoint(rows.select("fp").distinct().withColumn("node", F.xxhash64("fp")))
+    edges = near_edges(nodes, max_bits)
     roots = connected(edges)
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     labelled = rows.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -75,6 +75,47 @@ def test_exact_and_near_copies(spark):
     assert kept.columns == d.columns and kept.count() == 60
 
 
+def test_near_copies_are_all_within_range(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(5000)]
+    texts = []
+    for k in range(600):
+        w = rng.choices(words, k=60)
+        texts.append(" ".join(w))
+        for at in rng.sample(range(60), 1 + k % 8):
+            w[at] = rng.choice(words)
+        texts.append(" ".join(w))
+    fps = simhash.fingerprints(texts)
+    bits = np.array([np.bitwise_count(fps ^ f).sum(axis=1, dtype=int) for f in fps])
+    parent = list(range(len(texts)))
+    for i, j in np.argwhere(np.triu(bits <= simhash.MAX_BITS, 1)).tolist():
+        a, b = parent[i], parent[j]
+        parent = [min(a, b) if p in (a, b) else p for p in parent]
+    far = [bits[i, i + 1] for i in range(0, len(texts), 2)]
+    assert sum(64 < d <= simhash.MAX_BITS for d in far) > 50 and sum(d > simhash.MAX_BITS for d in far) > 50
+    found = simhash.near_groups(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.group_id for r in found} == dict(enumerate(parent))
+
+
+@pytest.mark.parametrize("max_bits", [0, 20, 128, 300])
+def test_near_edges_meet_across_groups(spark, max_bits):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, (4500, simhash.LANES), dtype=np.uint64)
+    fps = [base]
+    for far in (max_bits, max_bits + 1):
+        masks = np.zeros((100, 512), np.uint8)
+        for m in masks:
+            m[rng.permutation(512)[:far]] = 1
+        fps.append(base[:100] ^ np.packbits(masks, axis=1).view(np.uint64))
+    fps = np.concatenate(fps if max_bits else [base, fps[2]])
+    nodes = spark.createDataFrame([(i, f.tobytes()) for i, f in enumerate(fps)], "node long, fp binary")
+    root = {r.node: r.root for r in connected(simhash.near_edges(nodes, max_bits)).collect()}
+    if max_bits == 300:
+        assert root == dict.fromkeys(range(1, len(fps)), 0)
+    else:
+        assert root == ({4500 + i: i for i in range(100)} if max_bits else {})
+
+
 def test_exact_oracle(spark):
     con, at = duckdb.connect(), "/root/testdata/sf0.001"
     for t in ("documents", "pages"):
