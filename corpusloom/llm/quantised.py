@@ -16,8 +16,8 @@ from corpusloom.llm.common import FID, ROW, anchored, checkpoint, connected, rea
 COSINE = 0.9
 #: Mean length of an inverted list.
 LIST_ROWS = 512
-#: Vectors that the codebooks are fitted on, the lowest of a seeded hash: so many a list, SAMPLE at most.
-SAMPLE_EACH, SAMPLE = 40, 100_000
+#: Vectors a list that its centre is fitted on, chosen by a seeded hash; rounds of fitting; residuals that the codebooks are fitted on.
+SAMPLE_EACH, ROUNDS, BOOK_ROWS = 40, 8, 20_000
 #: Subspaces, and codes in each.
 PARTS, CODES = 16, 16
 #: A list is probed if a shift of the largest length that COSINE allows, in a random direction, crosses into it with this many standard deviations.
@@ -56,18 +56,6 @@ class Index:
     error: float
     deviation: float
 
-    @staticmethod
-    def fit(x: np.ndarray, lists: int, seed: int = 11) -> Index:
-        rng = np.random.default_rng(seed)
-        centres = k_means(x, lists, 8, rng)
-        rest = x - centres[nearest(x, centres)]
-        some = rest[rng.permutation(len(rest))[:20_000]].reshape(-1, PARTS, x.shape[1] // PARTS)
-        books = np.stack([k_means(np.ascontiguousarray(some[:, m]), CODES, 8, rng) for m in range(PARTS)])
-        index = Index(centres, books, 0.0, 0.0)
-        lost = ((rest - index.decode(index.encode(rest))) ** 2).sum(axis=1)
-        index.error, index.deviation = float(lost.mean()), float(lost.std())
-        return index
-
     def encode(self, rest: np.ndarray) -> np.ndarray:
         cut = rest.reshape(len(rest), PARTS, -1)
         return np.stack([nearest(np.ascontiguousarray(cut[:, m]), self.books[m]) for m in range(PARTS)], axis=1).astype(np.uint8)
@@ -85,7 +73,7 @@ class Index:
         c = self.centres
         dist = (x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)
         home = dist.argmin(axis=1)
-        apart = np.sqrt(np.maximum(((c**2).sum(axis=1)[:, None] - 2 * c @ c.T + (c**2).sum(axis=1))[home], 1e-12))
+        apart = np.sqrt(np.maximum((c**2).sum(axis=1)[home, None] - 2 * c[home] @ c.T + (c**2).sum(axis=1), 1e-12))
         margin = (dist - dist[np.arange(len(x)), home][:, None]) / (2 * apart)
         margin[np.arange(len(x)), home] = -1
         row, to = np.nonzero(margin <= PROBE_Z * radius / np.sqrt(x.shape[1]))
@@ -145,7 +133,75 @@ def _cell_edges(shared, cosine: float):
     return run
 
 
-def near_vectors(rows: DataFrame, cosine: float = COSINE, list_rows: int = LIST_ROWS, sample: int = SAMPLE) -> DataFrame:
+def stacked(v: pd.Series, wide: int) -> np.ndarray:
+    """Vectors as rows, with zeros up to ``wide``."""
+    x = np.stack(v.to_numpy()).astype(np.float32)
+    return np.pad(x, ((0, 0), (0, wide - x.shape[1])))
+
+
+def lloyd(chosen: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """One round of Lloyd's algorithm over rows with a vector ``v``; the driver gets a row a centre. An empty list keeps its centre."""
+    spark, (lists, wide) = chosen.sparkSession, centres.shape
+    shared = spark.sparkContext.broadcast(centres)
+    out = "cell long, n long, s array<double>"
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, total = np.zeros(lists, np.int64), np.zeros((lists, wide))
+        for batch in batches:
+            x = stacked(batch["v"], wide)
+            near = nearest(x, shared.value)
+            counts += np.bincount(near, minlength=lists)
+            np.add.at(total, near, x)
+        some = np.flatnonzero(counts)
+        yield pd.DataFrame({"cell": some, "n": counts[some], "s": list(total[some])})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [batch for batch in batches if len(batch)]
+        if parts:
+            rows = pd.concat(parts, ignore_index=True)
+            cell, at = np.unique(rows["cell"].to_numpy(), return_inverse=True)
+            n, total = np.zeros(len(cell), np.int64), np.zeros((len(cell), wide))
+            np.add.at(n, at, rows["n"].to_numpy())
+            np.add.at(total, at, np.stack(rows["s"].to_numpy()))
+            yield pd.DataFrame({"cell": cell, "n": n, "s": list(total)})
+
+    found = chosen.select("v").mapInPandas(sums, out).repartition("cell").mapInPandas(added, out).toPandas()
+    shared.unpersist()
+    after = centres.copy()
+    after[found["cell"].to_numpy()] = np.stack(found["s"].to_numpy()) / found["n"].to_numpy()[:, None]
+    return after
+
+
+def fitted(rows: DataFrame, many: int, lists: int, seed: int = 11) -> Index:
+    """The index of ``many`` rows: centres fitted on SAMPLE_EACH rows a list, however many lists; error and deviation over all rows."""
+    spark = rows.sparkSession
+    share = max(2000, SAMPLE_EACH * lists) / many
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(9), "node"), 1)
+    chosen = checkpoint(rows.select("node", "v").where(order <= int(((1 << 63) - 1) * share)) if share < 1 else rows.select("node", "v"))
+    first = chosen.orderBy(order, "node").limit(lists).toPandas()["v"]
+    wide = -(-len(first.iat[0]) // PARTS) * PARTS
+    centres = stacked(first, wide)
+    for _ in range(ROUNDS):
+        centres = lloyd(chosen, centres)
+    x = stacked(chosen.orderBy(F.xxhash64(F.lit(10), "node"), "node").limit(BOOK_ROWS).toPandas()["v"], wide)
+    rest, rng = (x - centres[nearest(x, centres)]).reshape(-1, PARTS, wide // PARTS), np.random.default_rng(seed)
+    index = Index(centres, np.stack([k_means(np.ascontiguousarray(rest[:, m]), CODES, 8, rng) for m in range(PARTS)]), 0.0, 0.0)
+    shared = spark.sparkContext.broadcast(index)
+
+    def lost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = stacked(batch["v"], wide)
+            rest = x - shared.value.centres[nearest(x, shared.value.centres)]
+            off = ((rest - shared.value.decode(shared.value.encode(rest))) ** 2).sum(axis=1, dtype=np.float64)
+            yield pd.DataFrame({"one": [off.sum()], "two": [(off**2).sum()]})
+
+    one, two = rows.select("v").mapInPandas(lost, "one double, two double").agg(F.sum("one"), F.sum("two")).first()
+    index.error = one / many
+    index.deviation = float(np.sqrt(max(two / many - index.error**2, 0.0)))
+    return index
+
+
+def near_vectors(rows: DataFrame, cosine: float = COSINE, list_rows: int = LIST_ROWS) -> DataFrame:
     """``a, b``: edges that connect the nodes of ``rows`` (node long, v array<float> of unit length and one dimension) as all near pairs do.
 
     Every node is a query: it goes to its own list as a member and to every list that a near copy may lie in.
@@ -158,10 +214,8 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, list_rows: int = LIST_
     if many < 2:
         return spark.createDataFrame([], "a long, b long")
     lists = max(1, -(-many // list_rows))
-    chosen = rows.orderBy(F.xxhash64(F.lit(9), "node"), "node").limit(min(sample, max(2000, SAMPLE_EACH * lists)))
-    x = np.stack(chosen.toPandas()["v"].to_numpy()).astype(np.float32)
-    wide = -(-x.shape[1] // PARTS) * PARTS
-    index = Index.fit(np.pad(x, ((0, 0), (0, wide - x.shape[1]))), lists)
+    index = fitted(rows, many, lists)
+    wide = index.centres.shape[1]
     shared = spark.sparkContext.broadcast(index)  # a centre for each list of list_rows vectors
     radius = float(np.sqrt(2 - 2 * cosine))
 
@@ -169,8 +223,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, list_rows: int = LIST_
         for batch in batches:
             for s in range(0, len(batch), 1024):
                 part = batch.iloc[s : s + 1024]
-                v = np.stack(part["v"].to_numpy()).astype(np.float32)
-                v = np.pad(v, ((0, 0), (0, wide - v.shape[1])))
+                v = stacked(part["v"], wide)
                 row, to, home = shared.value.probes(v, radius)
                 yield pd.DataFrame({"cell": to, "node": part["node"].to_numpy()[row], "own": to == home[row], "v": list(v[row])})
 

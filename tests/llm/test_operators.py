@@ -215,6 +215,24 @@ def test_quantised_recall(spark):
     assert all((g, v) in true for v, g in group.items() if v != g)
 
 
+def test_index_is_fitted_and_measured_on_enough_rows(spark, monkeypatch):
+    monkeypatch.setattr(quantised, "SAMPLE_EACH", 4)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 30)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<float>")
+    index = quantised.fitted(rows, len(x), 600)
+    wide = np.pad(x, ((0, 0), (0, 2)))
+    rest = wide - index.centres[quantised.nearest(wide, index.centres)]
+    lost = ((rest - index.decode(index.encode(rest))) ** 2).sum(axis=1)
+    assert len(index.centres) == 600 and index.error == pytest.approx(lost.mean(), rel=1e-4) and index.deviation == pytest.approx(lost.std(), rel=1e-3)
+    after = quantised.lloyd(rows, index.centres)
+    near = quantised.nearest(wide, index.centres)
+    for c in range(0, 600, 37):
+        own = wide[near == c]
+        assert np.allclose(after[c], own.mean(axis=0) if len(own) else index.centres[c], atol=1e-5)
+
+
 def test_communication_matrix():
     sizes, shards = np.array([5, 0, 7, 3]), sharding.shard_sizes(15, 4)
     rows = np.stack([sharding.matrix_row(sizes, shards, i, 1) for i in range(4)])
