@@ -23,6 +23,8 @@ from corpusloom.llm.common import small_batches
 
 #: A compressed layer over this many bytes is reported as ``oversized_layer`` instead of being unwrapped, as it could fill a worker's memory.
 LAYER_BYTES = 64 << 20
+#: Layers whose characters all have the span of their block.
+PACKED = {"gzip", "zlib", "bzip2", "xz", "zstd"}
 #: Bits a character that the value of an assignment has at least.
 ENTROPY = 2.5
 
@@ -237,25 +239,25 @@ def scan(text: str) -> list[tuple[str, int, int, str, str]]:
     The worklist starts with the text. Each layer is scanned, then decoded in every way that applies; what comes
     out is queued unless the same text was reached from the same span before, so encodings that decode to
     themselves or to each other end. A secret that several layers show at the same span is reported once, in the
-    outermost.
+    outermost; different secrets of one compressed block have the same span and are reported each.
     """
-    found: dict[tuple[str, int, int], tuple[str, str]] = {}
+    found: dict[tuple[str, int, int, str], tuple[str, str]] = {}
     work, seen = deque([Layer(text, ())]), {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}
     while work:
         layer = work.popleft()
         for rule, a, b in _matches(layer.text):
             digest = hashlib.sha256(layer.text[a:b].encode("utf-8", "surrogatepass")).hexdigest()[:16]
-            found.setdefault((rule, *layer.span(a, b)), (">".join(layer.path), digest))
+            found.setdefault((rule, *layer.span(a, b), digest if PACKED & {*layer.path} else ""), (">".join(layer.path), digest))
         for way in (_percent, _unicode, _base64):
             for inner in way(layer):
                 if isinstance(inner, tuple):
-                    found.setdefault(("oversized_layer", inner[0], inner[1]), (inner[2], ""))
+                    found.setdefault(("oversized_layer", inner[0], inner[1], ""), (inner[2], ""))
                 elif inner.text:
                     key = (hashlib.sha256(inner.text.encode("utf-8", "surrogatepass")).digest(), *inner.span(0, len(inner.text)))
                     if key not in seen:
                         seen.add(key)
                         work.append(inner)
-    return [(rule, a, b, path, digest) for (rule, a, b), (path, digest) in sorted(found.items(), key=lambda x: (x[0][1], x[0][2], x[0][0]))]
+    return [(rule, a, b, path, digest) for (rule, a, b, _), (path, digest) in sorted(found.items(), key=lambda x: (x[0][1], x[0][2], x[0][0], x[0][3]))]
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -200,6 +200,13 @@ def test_secret_spans_are_exact():
     assert not secret_scan.scan("100%% sure %zz \\u12 aGVsbG8gd29ybGQgYWdhaW4gYW5k")
 
 
+def test_secrets_of_one_compressed_block():
+    two = SECRET + "\n" + SECRET.replace("04dbebab", "99c1e2f7")
+    full = "x " + base64.b64encode(gzip.compress(two.encode(), mtime=0)).decode()
+    found = [f for f in secret_scan.scan(full) if f[0] == "assigned_secret"]
+    assert len({f[4] for f in found}) == len(found) == 2
+
+
 def test_quantised_recall(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(1500, 64))
