@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -46,6 +45,8 @@ _UNICODE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa
 _ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{76}\r?\n|[A-Za-z0-9+/]{64}\r?\n){1,}[A-Za-z0-9+/]{1,76}={0,2}")
+_LINES = re.compile(r"(?:[A-Za-z0-9+/_-]{4,}\r?\n)+[A-Za-z0-9+/_-]+={0,2}")
+_AFTER = re.compile(r"[/_-]")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]*")
 
 
@@ -155,25 +156,66 @@ def _inflated(raw: bytes) -> tuple[str, bytes | None] | None:
 
 
 def _blocks(layer: Layer) -> Iterator[tuple[list[int], bytes]]:
-    """Base64 blocks: the positions of their characters and the decoded bytes."""
+    """Base64 blocks: the positions of their characters and the decoded bytes.
+
+    Lines of equal width are one block, with the run before them, where they have one, and without. A run that
+    starts with a path or a label, or ends with one, is also read from each '/', '-' or '_' on, where text or a
+    compressed block starts.
+    """
     seen: list[tuple[int, int]] = []
-    for pattern in (_WRAPPED, _BASE64):
-        for m in pattern.finditer(layer.text):
-            a, b = m.span()
-            if any(x <= a and b <= y for x, y in seen):
-                continue
-            body = m[0].rstrip("=")
-            at = [a + k for k, c in enumerate(body) if c not in "\r\n"]
-            letters = "".join(body.split()).replace("-", "+").replace("_", "/")
-            if len(letters) % 4 == 1:
+    runs = [(m.start(), m.end(), True) for m in _WRAPPED.finditer(layer.text)]
+    for m in _LINES.finditer(layer.text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[^\r\n]+", m[0])]
+        sizes, i = [b - a for a, b in lines], 0
+        while i < len(lines) - 1:
+            j = i + 1
+            while j < len(lines) and sizes[j] == sizes[i]:
+                j += 1
+            last = j if j < len(lines) and sizes[j] < sizes[i] else j - 1
+            if last > i:
+                runs.append((lines[i][0], lines[last][1], True))
+                if i and sizes[i - 1] > sizes[i]:
+                    runs.append((lines[i - 1][0], lines[last][1], True))
+            elif sizes[i + 1] < sizes[i]:
+                runs.append((lines[i][0], lines[i + 1][1], True))
+            i = j
+    runs += [(m.start(), m.end(), False) for m in _BASE64.finditer(layer.text)]
+    for a, b, wrapped in dict.fromkeys(runs):
+        if not wrapped and any(x <= a and b <= y for x, y in seen):
+            continue
+        body = layer.text[a:b].rstrip("=")
+        at = [a + k for k, c in enumerate(body) if c not in "\r\n"]
+        given = "".join(body.split())
+        letters, until = given.replace("-", "+").replace("_", "/"), 0
+        for start in (0, *(x.end() for x in _AFTER.finditer(given))):
+            if start < until or len(letters) - start < 16:
                 continue
-            try:
-                raw = base64.b64decode(letters + "=" * (-len(letters) % 4), validate=True)
-            except (binascii.Error, ValueError):
+            if not _starts(base64.b64decode(letters[start : start + 24][: (min(24, len(letters) - start)) // 4 * 4])):
                 continue
-            if pattern is _WRAPPED:
-                seen.append((a, b))
-            yield at, raw
+            rest = letters[start:]
+            rest = rest[: len(rest) - (len(rest) % 4 == 1)]
+            raw = base64.b64decode(rest + "=" * (-len(rest) % 4))
+            text = _head_of(raw)
+            if text and len(text.encode()) >= 12:
+                raw = text.encode()
+                until = start + -(-len(raw) * 4 // 3)
+            if wrapped:
+                seen.append((a, at[until - 1] + 1 if until > start else a + len(re.match(r"[^\r\n]*", body)[0])))
+            yield at[start : until if until > start else len(letters)], raw
+
+
+def _head_of(raw: bytes) -> str:
+    """The text that the bytes start with."""
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError as e:
+        text = raw[: e.start].decode()
+    return _PLAIN.match(text)[0]
+
+
+def _starts(raw: bytes) -> bool:
+    """Whether the first bytes of a block may be those of text or of a compressed block."""
+    return len(_head_of(raw).encode()) > len(raw) - 4 or raw[:3] == b"BZh" or raw[:2] in (b"\x1f\x8b", b"\xfd7", b"\x28\xb5") or (raw[0] & 15 == 8 and int.from_bytes(raw[:2]) % 31 == 0)
 
 
 def _text_of(raw: bytes) -> str | None:

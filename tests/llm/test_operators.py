@@ -207,6 +207,20 @@ def test_secrets_of_one_compressed_block():
     assert len({f[4] for f in found}) == len(found) == 2
 
 
+@pytest.mark.parametrize("way", [str.encode, lambda t: gzip.compress(t.encode(), mtime=0)])
+def test_secrets_after_labels_and_in_lines(way):
+    blob = base64.b64encode(way(SECRET)).decode().rstrip("=")
+    long = base64.b64encode(way("some other text, " * 9 + SECRET)).decode()
+    cases = [f"{x}{blob}" for x in ("https://h.example/cfg/", "data_", "key-", "x=", "a/b-c_")] + [f"{blob}-tail/of_it"]
+    for width in (20, 50, 60, 61, 64, 76):
+        lines = "\n".join(long[k : k + width] for k in range(0, len(long), width))
+        cases += [lines, f"before:\n{lines}\nafter", f"data_{lines}"]
+    for full in cases:
+        assert any(f[0] == "assigned_secret" for f in secret_scan.scan(full)), full
+    one, two = (base64.b64encode(way(SECRET.replace("04db", x))).decode().rstrip("=") for x in ("1a2b", "3c4d"))
+    assert len({f[4] for f in secret_scan.scan(f"{one}\n{two}")}) == 2
+
+
 def test_quantised_recall(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(1500, 64))
