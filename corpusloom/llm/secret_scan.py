@@ -131,28 +131,54 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
 
 
 def _inflated(raw: bytes) -> tuple[str, bytes | None] | None:
-    """Name and content of a compressed block; a content of None is over LAYER_BYTES."""
+    """Name and content of a compressed block, of all its members; a content of None is over LAYER_BYTES. What follows the last sound member is ignored."""
     if raw[:2] == b"\x1f\x8b":
-        name, engine = "gzip", zlib.decompressobj(31)
+        name, fresh = "gzip", lambda: zlib.decompressobj(31)
     elif len(raw) > 6 and raw[0] & 15 == 8 and raw[0] >> 4 <= 7 and int.from_bytes(raw[:2]) % 31 == 0:
-        name, engine = "zlib", zlib.decompressobj()
+        name, fresh = "zlib", zlib.decompressobj
     elif raw[:3] == b"BZh":
-        name, engine = "bzip2", bz2.BZ2Decompressor()
+        name, fresh = "bzip2", bz2.BZ2Decompressor
     elif raw[:6] == b"\xfd7zXZ\0":
-        name, engine = "xz", lzma.LZMADecompressor()
+        name, fresh = "xz", lzma.LZMADecompressor
     elif raw[:4] == b"\x28\xb5\x2f\xfd":
-        name, engine = "zstd", None
+        name, fresh = "zstd", None
     else:
         return None
-    try:
-        if engine is None:
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out = reader.read(LAYER_BYTES + 1)
-        else:
-            out = engine.decompress(raw, LAYER_BYTES + 1)
-    except (OSError, ValueError, EOFError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
+    parts, size = [], 0
+    while raw and size <= LAYER_BYTES:
+        try:
+            if fresh is None:
+                out, raw = _frames(raw), b""
+            else:
+                engine = fresh()
+                out = engine.decompress(raw, LAYER_BYTES + 1 - size)
+                raw = engine.unused_data
+        except (OSError, ValueError, EOFError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
+            break
+        parts.append(out)
+        size += len(out)
+        if name in ("gzip", "xz"):
+            raw = raw.lstrip(b"\0")  # padding between members
+    if not parts:
         return None
-    return name, out if len(out) <= LAYER_BYTES else None
+    return name, b"".join(parts) if size <= LAYER_BYTES else None
+
+
+def _frames(raw: bytes) -> bytes:
+    """The content of all Zstandard frames up to what is unsound, not far over LAYER_BYTES, as the input is fed in small pieces."""
+    parts, size, at, engine = [], 0, 0, None
+    while at < len(raw) and size <= LAYER_BYTES:
+        engine = engine or zstandard.ZstdDecompressor().decompressobj()
+        piece = raw[at : at + 256]
+        try:
+            parts.append(engine.decompress(piece))
+        except zstandard.ZstdError:
+            break
+        size += len(parts[-1])
+        at += len(piece)
+        if engine.eof:
+            at, engine = at - len(engine.unused_data), None
+    return b"".join(parts)
 
 
 def _blocks(layer: Layer) -> Iterator[tuple[list[int], bytes]]:

@@ -1,13 +1,17 @@
 import base64
+import bz2
 import gzip
 import itertools
+import lzma
 import random
 import urllib.parse
+import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, mixing, packing, quantised, queries, radix, secret_scan, sharding, simhash, toxicity, urls
@@ -221,6 +225,14 @@ def test_secrets_after_labels_and_in_lines(way):
     assert len({f[4] for f in secret_scan.scan(f"{one}\n{two}")}) == 2
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_secrets_in_all_members(pack):
+    two = [SECRET.replace("04db", x).encode() for x in ("1a2b", "3c4d")]
+    for rest in (b"", b"\xff\xfejunk" * 3):
+        full = base64.b64encode(pack(two[0] + b"\n") + pack(two[1]) + rest).decode()
+        assert len({f[4] for f in secret_scan.scan(full)}) == 2
+
+
 def test_quantised_recall(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(1500, 64))
