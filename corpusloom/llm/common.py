@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
@@ -19,14 +20,18 @@ SLAB_CHARS = 1_000_000
 ARROW_ROWS = 512
 #: A side of a join is broadcast if it is known to have at most so many rows, of a few hundred bytes; beyond, Spark shuffles.
 BROADCAST_ROWS = 50_000
-FID, ROW = "_loom_file", "_loom_row"
+#: Names of a row's identity in tables whose other names are chosen here.
+FID, ROW = KEY = ("_loom_file", "_loom_row")
+#: Folders that this process has made.
+_MADE: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. A local folder is made only in local mode, where none is named."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
     if not spark.sparkContext.getCheckpointDir():
@@ -49,9 +54,34 @@ def ready_workers(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as rows hold whole documents."""
+    """Arrow batches of few rows, as rows hold whole documents, unless the session's user has chosen a size."""
     ready_workers(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(ARROW_ROWS))
+
+
+def scratch(spark: SparkSession, name: str = "") -> str:
+    """A new path in the shared folder, below the application's own, which ``clear_scratch`` deletes."""
+    mine = f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}"
+    if mine not in _MADE:
+        _MADE.add(mine)
+        atexit.register(clear_scratch, spark)
+    return f"{mine}/{name or uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``scratch`` named."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote to the shared folder; results that read them are void then. Runs by itself when Python ends."""
+    if spark._jsc.sc().isStopped():
+        return
+    for path in list(_MADE):
+        remove(spark, path)
+        _MADE.discard(path)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -59,6 +89,29 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def named(column: str) -> str:
+    """The column's name in backticks, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def spare(columns: list[str], many: int) -> list[str]:
+    """So many names that none of the columns has in any case of letters."""
+    taken, found, k = {c.lower() for c in columns}, [], 0
+    while len(found) < many:
+        if f"_loom{k}" not in taken:
+            found.append(f"_loom{k}")
+        k += 1
+    return found
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether the plan only selects from files, so that no row has been made twice."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
 def anchored(df: DataFrame) -> DataFrame:
     """A DataFrame with the rows of ``df`` that reads them from files, so that each row has a lasting identity.
 
@@ -66,18 +119,20 @@ def anchored(df: DataFrame) -> DataFrame:
     shuffle may order them otherwise.
     """
     try:
-        df.select("_metadata.file_path", "_metadata.row_index")
-        return df
+        if _is_scan(df):
+            df.select(df.metadataColumn("_metadata")["row_index"])
+            return df
     except AnalysisException:
-        spark = df.sparkSession
-        path = f"{shared_dir(spark)}/corpusloom/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        pass
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stable_rows(df: DataFrame, *columns: Column | str) -> DataFrame:
-    """Of an anchored DataFrame, the columns and the row's identity (file hash, row index), the same in every job."""
-    return df.select(*columns, F.xxhash64("_metadata.file_path").alias(FID), F.col("_metadata.row_index").alias(ROW))
+def stable_rows(df: DataFrame, *columns: Column | str, key: Sequence[str] = KEY) -> DataFrame:
+    """Of an anchored DataFrame, the columns and the row's identity (file hash, row index) under two names, the same in every job."""
+    at = df.metadataColumn("_metadata")
+    return df.select(*columns, F.xxhash64(at["file_path"]).alias(key[0]), at["row_index"].alias(key[1]))
 
 
 def slabs(texts: list[str], limit: int = SLAB_CHARS) -> Iterator[tuple[int, int]]:
@@ -154,18 +209,18 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def lowest_hashed(rows: DataFrame, group: str, key: str, many: int, seed: int) -> DataFrame:
-    """``group, key, order``: of each group the ``many`` rows of the lowest seeded hash of the key.
+def lowest_hashed(rows: DataFrame, group: str, key: Sequence[str], many: int, seed: int) -> DataFrame:
+    """``group``, the columns of ``key`` and ``order``: of each group the ``many`` rows of the lowest seeded hash of the key, which tells all rows apart.
 
     Groups are counted first; then only rows whose hash is below what so many rows need, with six standard
     deviations to spare, are sorted, so that neither a task nor the driver gets more than a small multiple of them.
     """
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1)
-    slim = rows.select(group, key, order.alias("order"))
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 1)
+    slim = rows.select(group, *key, order.alias("order"))
     counts = [(r[0], r[1]) for r in slim.groupBy(group).count().collect()]
     enough = many + 6 * many**0.5 + 20
     below = [(g, (1 << 63) - 1 if n <= enough else int((1 << 63) * enough / n)) for g, n in counts]
     bounds = rows.sparkSession.createDataFrame(below, f"{group} {dict(rows.dtypes)[group]}, below long")
     few = slim.join(small_side(bounds, len(below)), group).where("order <= below")
-    place = F.expr(f"row_number() OVER (PARTITION BY `{group}` ORDER BY order, `{key}`)")
-    return few.withColumn("_place", place).where(F.col("_place") <= many).select(group, key, "order")
+    place = F.expr(f"row_number() OVER (PARTITION BY `{group}` ORDER BY order, {', '.join(key)})")
+    return few.withColumn("_place", place).where(F.col("_place") <= many).select(group, *key, "order")

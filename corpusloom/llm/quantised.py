@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import FID, ROW, anchored, checkpoint, connected, ready_workers, stable_rows
+from corpusloom.llm.common import FID, ROW, anchored, checkpoint, connected, named, ready_workers, stable_rows
 
 #: Vectors of at least this cosine are near copies.
 COSINE = 0.9
@@ -240,8 +240,8 @@ def near_groups(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_i
     Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     vectors = anchored(vectors)
-    v = F.col(vector_col).cast("array<double>")
-    rows = stable_rows(vectors, F.col(id_col).alias("vec_id"), v.alias("raw"))
+    v = F.col(named(vector_col)).cast("array<double>")
+    rows = stable_rows(vectors, F.col(named(id_col)).alias("vec_id"), v.alias("raw"))
     sound = "raw is not null and size(raw) > 0 and forall(raw, x -> x is not null and not isnan(x) and abs(x) < 1e150) and exists(raw, x -> abs(x) > 1e-150)"
     unit = F.expr("transform(raw, x -> float(x / sqrt(aggregate(raw, 0D, (s, y) -> s + y * y))))")
     nodes = checkpoint(rows.where(sound).select(FID, ROW, "vec_id", unit.alias("v")).withColumn("node", F.xxhash64("v")))
@@ -257,7 +257,7 @@ def near_groups(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_i
     labelled = nodes.select(FID, ROW, "vec_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = labelled.groupBy("root").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.min(F.struct("vec_id", FID, ROW)).alias("first"))
     marked = labelled.join(sizes.where("copies > 1"), "root").select(FID, ROW, "copies", "least", (F.struct("vec_id", FID, ROW) == F.col("first")).alias("keep"))
-    joined = stable_rows(vectors, F.col(id_col).alias("vec_id")).join(marked, [FID, ROW], "left")
+    joined = stable_rows(vectors, F.col(named(id_col)).alias("vec_id")).join(marked, [FID, ROW], "left")
     return joined.select(
         "vec_id",
         F.when(F.col("copies").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("group_id"),

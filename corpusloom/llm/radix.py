@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import FID, ROW, anchored, checkpoint, stable_rows
+from corpusloom.llm.common import FID, KEY, ROW, anchored, checkpoint, named, spare, stable_rows
 
 #: Text bytes that the first level splits on, besides the eight bytes of the length.
 FIRST_BYTES = 56
@@ -22,8 +22,8 @@ def duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     After the first level only rows with a possible copy travel. Counting and joining, rather than a window,
     lets a text with any number of copies be spread over many tasks.
     """
-    text = F.col(text_col).cast("binary")
-    base = stable_rows(docs.where(F.col(text_col).isNotNull()), F.col(id_col).alias("id"), text.alias("bytes"))
+    text = F.col(named(text_col)).cast("binary")
+    base = stable_rows(docs.where(F.col(named(text_col)).isNotNull()), F.col(named(id_col)).alias("id"), text.alias("bytes"))
     first = F.struct(F.length("bytes").alias("n"), F.substring("bytes", 1, FIRST_BYTES).alias("head"))
     keyed = base.withColumn("grp", first)
     shared = keyed.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1").select("grp")
@@ -56,7 +56,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are ignored, whatever their names. An empty table gives an empty result.
     """
     docs = anchored(docs)
-    rows = stable_rows(docs, F.col(id_col).alias("doc_id"))
+    rows = stable_rows(docs, F.col(named(id_col)).alias("doc_id"))
     found = duplicate_rows(docs, id_col, text_col).drop("id").withColumnRenamed("group_id", "least")
     joined = rows.join(found, [FID, ROW], "left")
     return joined.select(
@@ -68,8 +68,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns, under whatever names.
+
+    Nulls, empty texts, ties and repeated rows are decided as there. An empty table stays empty.
+    """
     columns, docs = docs.columns, anchored(docs)
-    rows = stable_rows(docs, "*")
-    losers = duplicate_rows(docs, id_col, text_col).where("not keep").select(FID, ROW)
-    return rows.join(losers, [FID, ROW], "left_anti").select(*(F.col(f"`{c}`") for c in columns))
+    key = spare(columns, 2)
+    losers = duplicate_rows(docs, id_col, text_col).where("not keep").select(*KEY).toDF(*key)
+    return stable_rows(docs, *map(named, columns), key=key).join(losers, key, "left_anti").select(*map(named, columns))

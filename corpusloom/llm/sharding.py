@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from math import lgamma, log, sqrt
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import FID, ROW, anchored, ready_workers, shared_dir, stable_rows
+from corpusloom.llm.common import FID, KEY, ROW, anchored, named, ready_workers, scratch, spare, stable_rows
 
 #: Rows of a source block and of a shard, at most.
 BLOCK_ROWS, SHARD_ROWS = 65_536, 8_192
@@ -88,31 +87,35 @@ def shard_sizes(rows: int, shard_rows: int) -> np.ndarray:
     return np.full(many, rows // many, np.int64) + (np.arange(many) < rows % many)
 
 
-def sharded(docs: DataFrame, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
+def sharded(docs: DataFrame, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, seed: int = SEED, names: tuple[str, str] = ("shard", "position")) -> DataFrame:
     """The rows of ``docs`` with all their columns, and ``shard`` and ``position`` in it: a uniform permutation.
 
     Blocks are runs of rows of a file. Each block's permutation and its row of the matrix say where its rows go
     without a look at their content; then rows travel once, and each shard is permuted again by a seeded sort.
     The result depends on the files, not on how Spark splits them. Nulls, empty texts and repeated rows are rows
-    like any others. A column of the input that is called shard or position is replaced, in any case of letters.
-    An empty table gives an empty result.
+    like any others. A column of the input that has one of the two names, in any case of letters, stays, and the new
+    one gets underscores at its end. An empty table gives an empty result.
     """
     ready_workers(docs.sparkSession)
-    taken = {"shard", "position"}
-    columns = [c for c in docs.columns if c.lower() not in taken]
-    docs = anchored(docs)
-    block = [F.xxhash64("_metadata.file_path").alias(FID), F.floor(F.col("_metadata.row_index") / block_rows).alias("block")]
-    found = docs.groupBy(*block).agg(F.count("*").alias("n"), F.max("_metadata.row_index").alias("last")).collect()
+    columns, docs = docs.columns, anchored(docs)
+    to, place = names
+    while to.lower() in {c.lower() for c in columns}:
+        to += "_"
+    while place.lower() in {c.lower() for c in [*columns, to]}:
+        place += "_"
+    at = docs.metadataColumn("_metadata")
+    last = docs.select(F.xxhash64(at["file_path"]).alias(FID), F.floor(at["row_index"] / block_rows).alias("block"), at["row_index"].alias("row"))
+    found = last.groupBy(FID, "block").agg(F.count("*").alias("n"), F.max("row").alias("last")).collect()
     if any(r.n != r["last"] - r.block * block_rows + 1 for r in found):
         # a filtered scan: number the rows that are left
-        path = f"{shared_dir(docs.sparkSession)}/corpusloom/{uuid.uuid4().hex}"
+        path = scratch(docs.sparkSession)
         docs.write.parquet(path)
-        return sharded(docs.sparkSession.read.schema(docs.schema).parquet(path), shard_rows, block_rows, seed)
+        return sharded(docs.sparkSession.read.schema(docs.schema).parquet(path), shard_rows, block_rows, seed, names)
     found.sort(key=lambda r: (r[FID], r.block))
     sizes = np.array([r.n for r in found], np.int64)
     index = {(r[FID], r.block): i for i, r in enumerate(found)}
     shards = shard_sizes(int(sizes.sum()), shard_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((sizes, index, shards))  # a row for each block of block_rows rows
+    shared = docs.sparkSession.sparkContext.broadcast((sizes, index, shards))  # a number for each block of block_rows rows and each shard
 
     @F.pandas_udf("long")
     def target(file: pd.Series, row: pd.Series) -> pd.Series:
@@ -130,7 +133,8 @@ def sharded(docs: DataFrame, shard_rows: int = SHARD_ROWS, block_rows: int = BLO
 
     drawn: dict[int, np.ndarray] = {}
     path: dict[tuple[int, int], np.ndarray] = {}
-    rows = stable_rows(docs, F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
-    rows = rows.withColumn("shard", target(FID, ROW)).withColumn("_order", F.xxhash64(F.lit(seed), FID, ROW))
-    place = F.expr(f"row_number() OVER (PARTITION BY shard ORDER BY _order, {FID}, {ROW}) - 1").cast("long")
-    return rows.withColumn("position", place).select("row.*", "shard", "position")
+    row, shard, order = spare([*KEY, to, place], 3)
+    rows = stable_rows(docs, F.struct(*(F.col(named(c)) for c in columns)).alias(row))
+    rows = rows.withColumn(shard, target(FID, ROW)).withColumn(order, F.xxhash64(F.lit(seed), FID, ROW))
+    rank = F.expr(f"row_number() OVER (PARTITION BY {shard} ORDER BY {order}, {FID}, {ROW}) - 1").cast("long")
+    return rows.withColumn("rank", rank).select(*(F.col(row)[c].alias(c) for c in columns), F.col(shard).alias(to), F.col("rank").alias(place))

@@ -1,4 +1,4 @@
-"""Near-deduplication: sampled SimHash lanes, joined on a dealt grid within a range of bits."""
+"""Near-deduplication: weighted SimHash lanes, mapped to bit counts by segment and range-joined on a grid."""
 
 from __future__ import annotations
 
@@ -9,21 +9,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import FID, ROW, SLAB_CHARS, anchored, checkpoint, connected, mix, small_batches, stable_rows, word_hashes
-
-#: A fingerprint is LANES SimHashes of 64 bits, each of its own minwise sample of PICKS word pairs.
-LANES, PICKS = 8, 4
-#: Two documents are near copies if at most this many of the 512 bits differ.
-MAX_BITS = 128
-#: Groups that nodes are dealt into, if they are not few; nodes in a group at most; fingerprints compared at a time.
-DEALS, DEAL_ROWS, TILE = 12, 200_000, (32, 4096)
-#: Votes of a lane's picks, by rank; no signed sum of the first few is zero.
-VOTES = np.array([8, 5, 4, 3])
+from corpusloom.llm.common import KEY, SLAB_CHARS, anchored, checkpoint, connected, mix, named, small_batches, spare, stable_rows, word_hashes
+
+#: A fingerprint is LANES weighted SimHashes of 64 bits for the search and PLAIN words of one in which all features weigh alike.
+LANES, PLAIN = 8, 4
+#: A feature's weight in a lane is u ** -STEEP of a seeded uniform u, so that few features rule a lane, others in each.
+STEEP = 2.0
+#: Two documents are near copies if at most MAX_BITS of the 256 plain bits differ and, in some lane, at most RANGE of 64.
+MAX_BITS, RANGE = 64, 1
+#: Segments of a lane, of 4 bits, whose bit counts are its place in the grid.
+SEGMENTS = 16
+#: Nodes of a cell that are compared in one go; larger cells are compared block by block. Rows of a task that compares.
+CELL_ROWS, TASK_ROWS = 4096, 200_000
+#: Characters whose features are held at a time.
+SLAB = SLAB_CHARS // 4
+_WORDS = LANES + PLAIN
 _SEEDS = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SIGNS = mix(np.arange(1, PLAIN + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+_HEAVIEST = 2.0**45
 
 
-def pieces(texts: list[str], limit: int = SLAB_CHARS) -> Iterator[tuple[int, str, bool]]:
+def pieces(texts: list[str], limit: int) -> Iterator[tuple[int, str, bool]]:
     """``(index, piece, continued)``: texts over ``limit`` are cut at spaces; a piece starts with the word before the cut."""
     for i, text in enumerate(texts):
         start = 0
@@ -45,177 +51,210 @@ def _inside(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < 0x300, low[np.minimum(codes, 0x2FF)], ~(((codes >= 0x2000) & (codes < 0x2070)) | ((codes >= 0x3000) & (codes < 0x3040))))
 
 
-def _least(texts: list[str], continued: np.ndarray) -> np.ndarray:
-    """(texts, LANES, PICKS): the least distinct hashes of word pairs in each lane, or _NONE."""
-    out = np.full((len(texts), LANES, PICKS), _NONE)
-    blob = "\n".join(texts) + "\n"
-    codes = np.frombuffer(blob.encode("utf-32-le", "surrogatepass"), np.uint32)
+def word_pairs(texts: list[str], continued: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of each distinct pair of neighbouring words, by text; the first word pairs with nothing."""
+    codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     starts, _, words = word_hashes(codes, _inside(codes))
     if not len(words):
-        return out
-    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
-    first = np.searchsorted(starts, bounds)
-    before = np.zeros(len(words), np.uint64)
-    before[1:] = words[:-1]
-    heads = first[:-1][first[:-1] < first[1:]]
+        return np.empty(0, np.int64), words
+    of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    before = np.r_[np.uint64(0), words[:-1]]
     before[heads] = 0
     pairs = mix(before * np.uint64(0x9FB21C651E98DF25) + words)
-    skip = first[:-1][continued & (first[:-1] < first[1:])]
-    has, counts = np.flatnonzero(np.diff(first)), np.diff(first)
-    counts = counts[has]
-    for lane in range(LANES):
-        value = mix(pairs ^ _SEEDS[lane])
-        value[skip] = _NONE
-        for k in range(PICKS):
-            least = np.minimum.reduceat(value, heads)
-            out[has, lane, k] = least
-            if k + 1 < PICKS:
-                value[value == np.repeat(least, counts)] = _NONE
+    keep = np.ones(len(pairs), bool)
+    keep[heads[continued[of[heads]]]] = False
+    of, pairs = of[keep], pairs[keep]
+    order = np.lexsort((pairs, of))
+    of, pairs = of[order], pairs[order]
+    new = np.r_[True, (of[1:] != of[:-1]) | (pairs[1:] != pairs[:-1])] if len(of) else np.empty(0, bool)
+    return of[new], pairs[new]
+
+
+def votes(features: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """(ranges, _WORDS, 64): of each range of features the signed votes for each bit. Weights are whole and sums below 2**53, so exact in any order."""
+    out = np.zeros((len(bounds), _WORDS, 64))
+    uniform = [((mix(features ^ s) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53 for s in _SEEDS]
+    weights = [np.floor(np.minimum(u**-STEEP, _HEAVIEST)) for u in uniform]
+    for block, seed in enumerate(_SIGNS):
+        bits = np.unpackbits(mix(features ^ seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
+        lanes = range(block, LANES, PLAIN)
+        rows = np.stack([*(weights[l] for l in lanes), np.ones(len(features))])
+        to = [*lanes, LANES + block]
+        for k, (a, b) in enumerate(bounds):
+            part = rows[:, a:b]
+            out[k, to] = 2 * (part @ bits[a:b]) - part.sum(axis=1)[:, None]
     return out
 
 
 def fingerprints(texts: list[str | None]) -> np.ndarray:
-    """(texts, LANES) of 64-bit lanes; rows of texts without a word, or null, are all zero."""
-    least = np.full((len(texts), LANES, PICKS), _NONE)
+    """(texts, LANES + PLAIN) words of 64 bits; rows of texts without a word, or null, are all zero. Every distinct word pair votes in all of them."""
+    totals = np.zeros((len(texts), _WORDS, 64), bool)
+    some = np.zeros(len(texts), bool)
+    parts: dict[int, list[np.ndarray]] = {}
     group: list[tuple[int, str, bool]] = []
 
+    def put(at: np.ndarray, features: np.ndarray, bounds: list[tuple[int, int]]) -> None:
+        totals[at] = votes(features, bounds) > 0
+        some[at] = True
+
     def flush() -> None:
-        if not group:
-            return
-        found = _least([p for _, p, _ in group], np.array([c for _, _, c in group]))
-        at = np.array([i for i, _, _ in group])
-        if len(set(at)) == len(at):
-            clean = ~np.array([c for _, _, c in group])
-            least[at[clean]] = found[clean]
-            again = [k for k in range(len(at)) if not clean[k]]
-        else:
-            again = range(len(at))
-        for k in again:
-            for lane in range(LANES):
-                both = np.unique(np.concatenate([least[at[k], lane], found[k, lane]]))[:PICKS]
-                least[at[k], lane, : len(both)] = both
-        group.clear()
+        if group:
+            at = np.array([i for i, _, _ in group])
+            of, pairs = word_pairs([p for _, p, _ in group], np.array([c for _, _, c in group]))
+            heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+            spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(of)], strict=True))
+            whole = [k for k, (a, _) in enumerate(spans) if len(texts[at[of[a]]]) <= SLAB]
+            if whole:
+                put(at[of[heads[whole]]], pairs, [spans[k] for k in whole])
+            for k in set(range(len(spans))) - set(whole):
+                parts.setdefault(int(at[of[spans[k][0]]]), []).append(pairs[slice(*spans[k])])
+            group.clear()
 
     size = 0
-    for i, piece, continued in pieces([(t or "").lower() for t in texts]):
-        if size + len(piece) > SLAB_CHARS:
+    lower = [(t or "").lower() for t in texts]
+    texts = lower
+    for i, piece, continued in pieces(lower, SLAB):
+        if size + len(piece) > SLAB:
             flush()
             size = 0
         group.append((i, piece, continued))
         size += len(piece)
     flush()
-    out = np.zeros((len(texts), LANES), np.uint64)
-    bits = np.arange(64, dtype=np.uint64)
-    for s in range(0, len(texts), 4096):
-        part = least[s : s + 4096]
-        real = part != _NONE
-        sums = np.zeros((*part.shape[:2], 64), np.int16)
-        for k in range(PICKS):
-            # another mix, as minwise hashes have leading zeros
-            sign = ((mix(part[:, :, k] + np.uint64(0x632BE59BD9B4E019))[:, :, None] >> bits) & np.uint64(1)).astype(np.int16) * 2 - 1
-            sums += sign * (VOTES[k] * real[:, :, k]).astype(np.int16)[:, :, None]
-        out[s : s + 4096] = ((sums > 0).astype(np.uint64) << bits).sum(axis=2, dtype=np.uint64)
-    out[(least[:, 0, 0] == _NONE)] = 0
+    for i, found in parts.items():
+        features = np.unique(np.concatenate(found))
+        total = sum(votes(features[s : s + 65536], [(0, len(features[s : s + 65536]))]) for s in range(0, len(features), 65536))
+        totals[i], some[i] = total[0] > 0, True
+    out = np.packbits(totals, axis=2, bitorder="little").view(np.uint64)[:, :, 0].copy()
+    # a text whose votes are all negative has a word nevertheless
+    out[some & ~out.any(axis=1), LANES] = 1
     return out
 
 
-def near_pairs(one: np.ndarray, two: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of two sets of fingerprints that differ in at most ``max_bits`` bits, in portions.
+def counts(lanes: np.ndarray) -> np.ndarray:
+    """(nodes, SEGMENTS): the bits that are set in each segment of a lane."""
+    width = np.uint64(64 // SEGMENTS)
+    mask = np.uint64((1 << int(width)) - 1)
+    return np.bitwise_count((lanes[:, None] >> (np.arange(SEGMENTS, dtype=np.uint64) * width)) & mask).astype(np.uint64)
 
-    The Manhattan distance of bit counts is at most the Hamming distance, so rows in order of their counts are
-    compared only within that range; of these, a pair over the bound in the first lanes already is dropped there.
+
+def cells(lane: int, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, cells and whether the cell is the row's own, for a join of all pairs whose counts have a Manhattan distance of RANGE = 1 at most.
+
+    Each row is in the cell of its counts. Counts at a distance of one have sums of different parity, so only rows of an odd
+    sum also go to the neighbouring cells, one segment up or down.
     """
-    counts = [np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (one, two)]
-    orders = [np.argsort(c, kind="stable") for c in counts]
-    low, high = (c[o] for c, o in zip(counts, orders, strict=True))
-    a, b = (np.ascontiguousarray(x[o].T) for x, o in zip((one, two), orders, strict=True))
-    head = min(LANES, max_bits // 32 + 1)
-    # a sum that overflows 8 bits is over 255; if it comes out low, the full comparison drops it
-    kind = np.uint8 if max_bits < 256 else np.uint16
-    bits, part, total = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8), np.empty(TILE, kind)
-    for s in range(0, len(one), TILE[0]):
-        e = min(s + TILE[0], len(one))
-        first, last = np.searchsorted(high, low[s] - max_bits), np.searchsorted(high, low[e - 1] + max_bits, "right")
-        for t in range(first, last, TILE[1]):
-            u = min(t + TILE[1], last)
-            x, c, sums = (buffer[: e - s, : u - t] for buffer in (bits, part, total))
-            sums[:] = 0
-            for lane in range(head):
-                np.bitwise_xor(a[lane, s:e, None], b[lane, None, t:u], out=x)
-                np.add(sums, np.bitwise_count(x, out=c), out=sums)
-            i, j = np.nonzero(sums <= max_bits)
-            if len(i):
-                i, j = orders[0][i + s], orders[1][j + t]
-                hit = np.bitwise_count(one[i] ^ two[j]).sum(axis=1, dtype=np.int32) <= max_bits
-                yield i[hit], j[hit]
-
-
-def links(fps: np.ndarray, low: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Edges that connect rows as the near pairs between rows of ``low`` and the others do; as all near pairs do if ``low`` holds everywhere."""
-    parent, found = np.arange(len(fps)), []
-
-    def roots(x: np.ndarray) -> np.ndarray:
-        top = parent[x]
-        while (parent[top] != top).any():
-            top = parent[top]
-        parent[x] = top
-        return top
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            x = parent[x]
-        return int(x)
-
-    one = np.flatnonzero(low)
-    two = one if low.all() else np.flatnonzero(~low)
-    for i, j in near_pairs(fps[one], fps[two], max_bits):
-        p, q = roots(one[i]), roots(two[j])
-        apart = np.unique(np.stack([p, q])[:, p != q], axis=1)
-        for x, y in apart.T.tolist():
-            x, y = root(x), root(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                found.append((x, y))
+    found = counts(lanes)
+    place = np.uint64(3) * np.arange(SEGMENTS, dtype=np.uint64)
+    own = (found << place).sum(axis=1, dtype=np.uint64)
+    rows, keys = [np.arange(len(lanes))], [own]
+    odd = np.flatnonzero(found.sum(axis=1) % np.uint64(2))
+    for s in range(SEGMENTS):
+        step, c = np.uint64(1) << place[s], found[odd, s]
+        for at, to in ((c > 0, own[odd] - step), (c < np.uint64(64 // SEGMENTS), own[odd] + step)):
+            rows.append(odd[at])
+            keys.append(to[at])
+    mine = np.zeros(sum(map(len, rows)), bool)
+    mine[: len(lanes)] = True
+    return np.concatenate(rows), mix(np.concatenate(keys) ^ _SEEDS[lane]).view(np.int64), mine
+
+
+def near(x: np.ndarray, y: np.ndarray, max_bits: int) -> np.ndarray:
+    """Whether fingerprints are near copies, row by row."""
+    bits = np.bitwise_count(x ^ y)
+    return (bits[..., LANES:].sum(axis=-1, dtype=np.int32) <= max_bits) & (bits[..., :LANES].min(axis=-1) <= RANGE)
+
+
+def links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Edges that connect rows as all near pairs do: each row is compared with those that none has reached yet."""
+    left, found = np.arange(len(fps)), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            hit = near(fps[at], fps[left], max_bits)
+            reached = left[hit].tolist()
+            found += [(at, r) for r in reached]
+            queue += reached
+            left = left[~hit]
     return found
 
 
-def _deal_links(max_bits: int):
+def small_links(fps: np.ndarray, heads: np.ndarray, tails: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs within each of many small ranges of rows."""
+    a, b = [], []
+    size = tails - heads
+    for n in np.unique(size[size > 1]).tolist():
+        i, j = np.triu_indices(n, 1)
+        for s in range(0, len(at := heads[size == n]), max(1, 100_000 // len(i))):
+            part = at[s : s + max(1, 100_000 // len(i))]
+            x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+            hit = near(fps[x], fps[y], max_bits)
+            a.append(x[hit])
+            b.append(y[hit])
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
+def _unit_links(max_bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [batch for batch in batches if len(batch)]
         if not parts:
             return
         rows = pd.concat(parts, ignore_index=True)
-        fps = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(-1, LANES)
-        ids, deal = rows["node"].to_numpy(), rows["deal"].to_numpy()
-        if deal.min() == deal.max() and not rows["twin"].iat[0]:
-            return
-        pairs = np.array(links(fps, deal == deal.min(), max_bits), np.int64).reshape(-1, 2)
-        yield pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+        unit = rows[["cell", "one", "two"]].to_numpy(np.int64)
+        order = np.lexsort(unit.T[::-1])
+        unit, ids = unit[order], rows["node"].to_numpy(np.int64)[order]
+        fps = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(-1, _WORDS)[order]
+        heads = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]).any(axis=1)])
+        tails = np.r_[heads[1:], len(unit)]
+        big = tails - heads > 32
+        i, j = small_links(fps, heads[~big], tails[~big], max_bits)
+        pairs = [np.stack([i, j], axis=1)]
+        for a, b in zip(heads[big], tails[big], strict=True):
+            pairs.append(np.array(links(fps[a:b], max_bits), np.int64).reshape(-1, 2) + a)
+        both = np.concatenate(pairs)
+        edges = np.unique(np.sort(ids[both], axis=1), axis=0)
+        yield pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
 
     return run
 
 
-def near_edges(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``a, b``: edges that connect the nodes (node long, fp binary, all distinct) as all pairs within ``max_bits`` do.
+def near_edges(nodes: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``a, b``: edges that connect the nodes (node long, fp binary, all distinct) as all near pairs do.
 
-    Nodes are dealt into groups by their hash, and a task joins two groups, or one with itself, by
-    ``near_pairs``. So each pair of nodes meets in one task for certain, and the work is quadratic in the nodes.
+    Lanes of a near pair that differ in RANGE bits at most have bit counts within that Manhattan distance, so the pair meets
+    in a cell of the grid for certain; there it is verified. Only cells that two nodes reach are looked at, and only then
+    does the fingerprint travel. A cell of many nodes is split into blocks, and every two blocks meet in a task.
     """
-    many = nodes.count()
-    deals = max(-(-many // DEAL_ROWS), min(-(-many // 4096), DEALS), 1)
-    dealt = nodes.select("node", "fp", F.pmod("node", F.lit(deals)).alias("deal"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("other"))
-    high, low = F.greatest("deal", "other"), F.least("deal", "other")
-    task = (F.expr("greatest(deal, other) * (greatest(deal, other) + 1) div 2") + low).cast("int")
-    placed = dealt.select("node", "fp", "deal", (high == low).alias("twin"), task.alias("task"))
-    parts = placed.repartitionById(deals * (deals + 1) // 2, F.col("task"))
-    return parts.mapInPandas(_deal_links(max_bits), "a long, b long")
-
-
-def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """Rows of an anchored DataFrame that have a near copy: row identity, ``id``, ``root``, the same in a group.
+    spark = nodes.sparkSession
 
-    Rows of one fingerprint become one node. All nodes with at most ``max_bits`` differing bits are near
-    copies, whatever lanes these lie in (see ``near_edges``).
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fps = np.frombuffer(b"".join(batch["fp"]), np.uint64).reshape(-1, _WORDS)
+            ids = batch["node"].to_numpy(np.int64)
+            for lane in range(LANES):
+                at, key, own = cells(lane, fps[:, lane])
+                yield pd.DataFrame({"cell": key, "node": ids[at], "own": own})
+
+    placed = nodes.mapInPandas(place, "cell long, node long, own boolean")
+    shared = placed.groupBy("cell").agg(F.count("*").alias("size"), F.max("own").alias("met")).where("size > 1 AND met").select("cell", "size")
+    members = checkpoint(placed.select("cell", "node").join(shared, "cell"))
+    blocks = F.ceil(F.col("size") / cell_rows).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.select("cell", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = met.select("cell", "node", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    many = members.agg(F.sum(blocks)).first()[0] or 0
+    if not many:
+        return spark.createDataFrame([], "a long, b long")
+    parts = units.join(nodes, "node").repartition(max(1, -(-int(many) // TASK_ROWS), spark.sparkContext.defaultParallelism), "cell", "one", "two")
+    return parts.mapInPandas(_unit_links(max_bits), "a long, b long")
+
+
+def near_rows(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> DataFrame:
+    """Rows of an anchored DataFrame that have a near copy: row identity, ``least`` id of the group, ``copies``, ``keep``.
+
+    Rows of one fingerprint become one node, numbered, as hashes of that many fingerprints might meet.
     """
     small_batches(docs.sparkSession)
 
@@ -224,15 +263,14 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         fps = fingerprints(list(text))
         return pd.Series([fp.tobytes() if fp.any() else None for fp in fps], dtype=object)
 
-    rows = stable_rows(docs, F.col(id_col).alias("id"), sketch(text_col).alias("fp")).where("fp is not null")
-    rows = checkpoint(rows)
-    nodes = checkpoint(rows.select("fp").distinct().withColumn("node", F.xxhash64("fp")))
-    edges = near_edges(nodes, max_bits)
-    roots = connected(edges)
-    roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    labelled = rows.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = labelled.groupBy("root").agg(F.count("*").alias("copies"), F.min("id").alias("group_id"), F.min(F.struct("id", FID, ROW)).alias("first"))
-    return labelled.join(sizes.where("copies > 1"), "root").select(FID, ROW, "id", "group_id", "copies", (F.struct("id", FID, ROW) == F.col("first")).alias("keep"))
+    rows = checkpoint(stable_rows(docs, F.col(named(id_col)).alias("id"), sketch(F.col(named(text_col))).alias("fp")).where("fp is not null"))
+    nodes = checkpoint(rows.select("fp").distinct().withColumn("node", F.monotonically_increasing_id()))
+    roots = connected(near_edges(nodes, max_bits))
+    roots = checkpoint(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")))
+    first = F.struct("id", *KEY)
+    labelled = rows.join(roots, "fp").select(*KEY, "id", "root")
+    sizes = labelled.groupBy("root").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min(first).alias("first"))
+    return labelled.join(sizes.where("copies > 1"), "root").select(*KEY, "least", "copies", (first == F.col("first")).alias("keep"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -240,11 +278,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The row with the least id of a group stays (a null id sorts first; of rows with equal ids, any one).
     Null texts and texts without a word have no near copy and stay. Repeated rows are near copies of each
-    other. Columns other than id and text are ignored. An empty table gives an empty result.
+    other. Columns other than id and text are ignored, whatever their names. An empty table gives an empty result.
     """
     docs = anchored(docs)
-    found = near_rows(docs, id_col, text_col, max_bits).drop("id").withColumnRenamed("group_id", "least")
-    joined = stable_rows(docs, F.col(id_col).alias("doc_id")).join(found, [FID, ROW], "left")
+    found = near_rows(docs, id_col, text_col, max_bits)
+    joined = stable_rows(docs, F.col(named(id_col)).alias("doc_id")).join(found, list(KEY), "left")
     return joined.select(
         "doc_id",
         F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("group_id"),
@@ -254,7 +292,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that ``near_groups`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``near_groups`` keeps, with all their columns, under whatever names.
+
+    Nulls, texts without a word, ties and repeated rows are decided as there. An empty table stays empty.
+    """
     columns, docs = docs.columns, anchored(docs)
-    losers = near_rows(docs, id_col, text_col, max_bits).where("not keep").select(FID, ROW)
-    return stable_rows(docs, "*").join(losers, [FID, ROW], "left_anti").select(*(F.col(f"`{c}`") for c in columns))
+    key = spare(columns, 2)
+    losers = near_rows(docs, id_col, text_col, max_bits).where("not keep").select(*KEY).toDF(*key)
+    return stable_rows(docs, *map(named, columns), key=key).join(losers, key, "left_anti").select(*map(named, columns))

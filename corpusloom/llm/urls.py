@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import FID, ROW, anchored, small_side, stable_rows
+from corpusloom.llm.common import FID, ROW, anchored, named, small_side, stable_rows
 
 #: Hex digits of a digest that rules and URLs are joined on.
 PREFIX_HEX = 8
@@ -38,17 +38,35 @@ def parts(url: Column) -> tuple[Column, Column, Column]:
     return host, F.regexp_replace(F.concat(F.lit("/"), plain), r"/+", "/"), query
 
 
-def expressions(host: Column, path: Column, query: Column) -> Column:
-    """All host suffixes of two labels or more (the host itself whatever it is), each with the path and query, the path, and every prefix of the path that ends in a slash: (expression, host length, path length)."""
-    labels, steps = F.split(host, r"\."), F.split(path, "/")
+def expressions(host: Column, path: Column, query: Column, labels: list[int], depths: list[int]) -> Column:
+    """The host's suffixes and the path's prefixes that a rule can be, as (expression, host length, path length).
+
+    Suffixes have one of the numbers of labels, two at least, or are the host itself, whatever it is; each comes with the
+    path and query, the path, and the prefixes that end in a slash and have one of the numbers of slashes.
+    """
+    parts, steps = F.split(host, r"\."), F.split(path, "/")
     number = F.regexp_like(host, F.lit(r"^[0-9.]+$")) | F.contains(host, F.lit(":"))
-    skip = F.when(number, 0).otherwise(F.greatest(F.size(labels) - 2, F.lit(0)))
-    hosts = F.transform(F.sequence(F.lit(0), skip), lambda k: F.array_join(F.slice(labels, k + 1, F.size(labels)), "."))
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda k: F.concat(F.array_join(F.slice(steps, F.lit(1), k), "/"), F.lit("/")))
+    own = [F.lit(n) for n in labels if n > 1]
+    fits = F.filter(F.array(*own).cast("array<int>"), lambda n: (n < F.size(parts)) & ~number)
+    hosts = F.concat(F.array(host), F.transform(fits, lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), ".")))
+    deep = F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda k: k < F.size(steps))
+    prefixes = F.transform(deep, lambda k: F.concat(F.array_join(F.slice(steps, F.lit(1), k), "/"), F.lit("/")))
     paths = F.array_distinct(F.concat(prefixes, F.array(path), F.array(F.concat(path, query))))
     return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(F.concat(h, p).alias("expression"), F.length(h).alias("h"), F.length(p).alias("p")))))
 
 
+def shapes(rules: DataFrame) -> tuple[list[int], list[int]]:
+    """Numbers of labels and of slashes that the rules have: as many at most as the longest rule has."""
+    slash = F.instr("expression", "/")
+    host = F.when(slash > 0, F.substring("expression", 1, slash - 1)).otherwise(F.col("expression"))
+
+    def many(c: Column, sign: str) -> Column:
+        return F.length(c) - F.length(F.replace(c, F.lit(sign), F.lit("")))
+
+    found = rules.agg(F.collect_set(many(host, ".") + 1).alias("labels"), F.collect_set(F.when(F.endswith("expression", F.lit("/")), many(F.col("expression"), "/"))).alias("depths")).first()
+    return sorted(found.labels), sorted(found.depths)
+
+
 def filtered(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, url, rule, action`` for every row: the rule that decides, or a null rule and "keep".
 
@@ -56,16 +74,17 @@ def filtered(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_co
     action, then the least action by name. A null URL, or one without a host, matches no rule. Rules with a null
     are left out, repeated rules count once. Repeated rows are decided each. Other columns are ignored, whatever
     their names. An empty table gives an empty result. Full digests are compared, so two expressions of one hash
-    prefix aren't mixed up. Rules are counted, and broadcast only if they are few.
+    prefix aren't mixed up. Of a URL only what has the shape of a rule is expanded. Rules are counted, and broadcast only if they are few.
     """
-    pages = anchored(pages)
-    host, path, query = parts(F.col(url_col))
-    rows = stable_rows(pages, F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    cut = stable_rows(pages.where(F.col(url_col).isNotNull()), host.alias("host"), path.alias("path"), query.alias("query")).where("host <> ''")
-    each = cut.select(FID, ROW, F.explode(expressions(F.col("host"), F.col("path"), F.col("query"))).alias("e"))
+    pages, url = anchored(pages), F.col(named(url_col))
+    host, path, query = parts(url)
+    rows = stable_rows(pages, F.col(named(id_col)).alias("page_id"), url.alias("url"))
+    rules = rules.select("expression", "action").where("expression is not null and action is not null").distinct()
+    labels, depths = shapes(rules)
+    cut = stable_rows(pages.where(url.isNotNull()), host.alias("host"), path.alias("path"), query.alias("query")).where("host <> ''")
+    each = cut.select(FID, ROW, F.explode(expressions(F.col("host"), F.col("path"), F.col("query"), labels, depths)).alias("e"))
     each = each.select(FID, ROW, "e.*").withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.substring("digest", 1, PREFIX_HEX))
-    known = rules.select("expression", "action").where("expression is not null and action is not null").distinct()
-    known = known.select(F.col("expression").alias("rule"), "action", F.sha2("expression", 256).alias("full")).withColumn("short", F.substring("full", 1, PREFIX_HEX))
+    known = rules.select(F.col("expression").alias("rule"), "action", F.sha2("expression", 256).alias("full")).withColumn("short", F.substring("full", 1, PREFIX_HEX))
     hits = each.join(small_side(known, known.count()), "short").where("digest = full")
     first = F.struct(F.col("h"), F.col("p"), (F.col("action") == "allow").alias("allow"), F.expr("transform(split(action, ''), c -> -ascii(c))").alias("least"), "rule", "action")
     best = hits.groupBy(FID, ROW).agg(F.max(first).alias("b")).select(FID, ROW, "b.rule", "b.action")
