@@ -9,7 +9,7 @@ import lzma
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +18,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches
+from corpusloom.llm.common import named, small_batches
 
 #: A compressed layer over this many bytes is reported as ``oversized_layer`` instead of being unwrapped, as it could fill a worker's memory.
 LAYER_BYTES = 64 << 20
 #: Layers whose characters all have the span of their block.
-PACKED = {"gzip", "zlib", "bzip2", "xz", "zstd"}
+PACKED = {"gzip", "zlib", "bzip2", "xz", "zstd", "deflate"}
 #: Bits a character that the value of an assignment has at least.
 ENTROPY = 2.5
 
@@ -43,11 +43,15 @@ RULES: list[tuple[str, tuple[str, ...], re.Pattern]] = [
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
 _ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{76}\r?\n|[A-Za-z0-9+/]{64}\r?\n){1,}[A-Za-z0-9+/]{1,76}={0,2}")
-_LINES = re.compile(r"(?:[A-Za-z0-9+/_-]{4,}\r?\n)+[A-Za-z0-9+/_-]+={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 _AFTER = re.compile(r"[/_-]")
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]*")
+#: Letters that a run has at least, and characters of readable text in a row that its bytes must show.
+RUN, READABLE = 16, 12
+#: Bytes as x where they are printable ASCII.
+_SHOWN = bytes(120 if 32 <= b < 127 else 32 for b in range(256))
+_HIDDEN = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+_UTF16 = (re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){%d,}" % READABLE), re.compile(rb"(?:\0[\t\n\r\x20-\x7e]){%d,}" % READABLE))
+_MAGIC = re.compile(rb"(?=\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd)")
 
 
 @dataclass
@@ -181,107 +185,95 @@ def _frames(raw: bytes) -> bytes:
     return b"".join(parts)
 
 
-def _blocks(layer: Layer) -> Iterator[tuple[list[int], bytes]]:
-    """Base64 blocks: the positions of their characters and the decoded bytes.
-
-    Lines of equal width are one block, with the run before them, where they have one, and without. A run that
-    starts with a path or a label, or ends with one, is also read from each '/', '-' or '_' on, where text or a
-    compressed block starts.
-    """
-    seen: list[tuple[int, int]] = []
-    runs = [(m.start(), m.end(), True) for m in _WRAPPED.finditer(layer.text)]
-    for m in _LINES.finditer(layer.text):
-        lines = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[^\r\n]+", m[0])]
-        sizes, i = [b - a for a, b in lines], 0
-        while i < len(lines) - 1:
-            j = i + 1
-            while j < len(lines) and sizes[j] == sizes[i]:
-                j += 1
-            last = j if j < len(lines) and sizes[j] < sizes[i] else j - 1
-            if last > i:
-                runs.append((lines[i][0], lines[last][1], True))
-                if i and sizes[i - 1] > sizes[i]:
-                    runs.append((lines[i - 1][0], lines[last][1], True))
-            elif sizes[i + 1] < sizes[i]:
-                runs.append((lines[i][0], lines[i + 1][1], True))
-            i = j
-    runs += [(m.start(), m.end(), False) for m in _BASE64.finditer(layer.text)]
-    for a, b, wrapped in dict.fromkeys(runs):
-        if not wrapped and any(x <= a and b <= y for x, y in seen):
-            continue
-        body = layer.text[a:b].rstrip("=")
-        at = [a + k for k, c in enumerate(body) if c not in "\r\n"]
-        given = "".join(body.split())
-        letters, until = given.replace("-", "+").replace("_", "/"), 0
-        for start in (0, *(x.end() for x in _AFTER.finditer(given))):
-            if start < until or len(letters) - start < 16:
-                continue
-            if not _starts(base64.b64decode(letters[start : start + 24][: (min(24, len(letters) - start)) // 4 * 4])):
-                continue
-            rest = letters[start:]
-            rest = rest[: len(rest) - (len(rest) % 4 == 1)]
-            raw = base64.b64decode(rest + "=" * (-len(rest) % 4))
-            text = _head_of(raw)
-            if text and len(text.encode()) >= 12:
-                raw = text.encode()
-                until = start + -(-len(raw) * 4 // 3)
-            if wrapped:
-                seen.append((a, at[until - 1] + 1 if until > start else a + len(re.match(r"[^\r\n]*", body)[0])))
-            yield at[start : until if until > start else len(letters)], raw
-
-
-def _head_of(raw: bytes) -> str:
-    """The text that the bytes start with."""
+def _deflated(raw: bytes) -> tuple[str, bytes | None] | None:
+    """The same for a stream of deflate without a header, which must end and hold readable text."""
+    engine = zlib.decompressobj(-15)
     try:
-        text = raw.decode()
-    except UnicodeDecodeError as e:
-        text = raw[: e.start].decode()
-    return _PLAIN.match(text)[0]
-
-
-def _starts(raw: bytes) -> bool:
-    """Whether the first bytes of a block may be those of text or of a compressed block."""
-    return len(_head_of(raw).encode()) > len(raw) - 4 or raw[:3] == b"BZh" or raw[:2] in (b"\x1f\x8b", b"\xfd7", b"\x28\xb5") or (raw[0] & 15 == 8 and int.from_bytes(raw[:2]) % 31 == 0)
+        out = engine.decompress(raw, LAYER_BYTES + 1)
+    except zlib.error:
+        return None
+    if len(out) > LAYER_BYTES:
+        return "deflate", None
+    return ("deflate", out) if engine.eof and _readable(out) else None
 
 
-def _text_of(raw: bytes) -> str | None:
+def _readable(raw: bytes) -> bool:
+    """Whether the bytes show readable text anywhere: a secret and any encoding of one do."""
+    if b"x" * READABLE in raw.translate(_SHOWN):
+        return True
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        return None
-    return text if text and _PLAIN.fullmatch(text) else None
+        return False
+    return len(raw) >= READABLE and not _HIDDEN.search(text)
+
+
+def _texts_of(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Texts in bytes, with the first and last byte of each character: as UTF-8 with blanks for what isn't text, and as UTF-16."""
+    if _readable(raw):
+        text = raw.decode(errors="surrogateescape")
+        sizes = np.ones(len(text), np.int64) if len(text) == len(raw) else np.array([len(c.encode(errors="surrogateescape")) for c in text], np.int64)
+        first = np.cumsum(sizes) - sizes
+        yield _HIDDEN.sub(" ", text), first, first + sizes - 1
+    if b"\0" in raw:
+        for p, pattern in enumerate(_UTF16):
+            at = [i for m in pattern.finditer(raw) for i in range(m.start() + p, m.end(), 2)]
+            if at:
+                first = np.array(at, np.int64)
+                yield "".join(chr(raw[i]) for i in at), first - p, first - p + 1
+
+
+def _unpacked(raw: bytes, starts: Iterable[int]) -> Iterator[tuple[tuple[str, ...], str | None]]:
+    """Names and text of the compressed blocks that start anywhere in the bytes, or, without a header, at ``starts``; a text of None is too large."""
+    seen, work = {raw}, deque([(raw, (), list(starts))])
+    while work:
+        data, path, bare = work.popleft()
+        found = [_inflated(data[m.start() :]) for m in _MAGIC.finditer(data)] + [_deflated(data[s:]) for s in bare]
+        for name, inner in filter(None, found):
+            if inner is None:
+                yield (*path, name), None
+            elif inner not in seen:
+                seen.add(inner)
+                work.append((inner, (*path, name), [0]))
+                for text, _, _ in _texts_of(inner):
+                    yield (*path, name), text
 
 
 def _base64(layer: Layer) -> Iterator[Layer | tuple[int, int, str]]:
-    """Layers of the base64 blocks that hold text, or compressed blocks down to text. A block that is too large gives a span instead."""
-    for at, raw in _blocks(layer):
-        text, path, packed = _text_of(raw), (*layer.path, "base64"), False
-        before = set()
-        while text is None:
-            more = _inflated(raw)
-            if more is None or raw in before:
-                break
-            before.add(raw)
-            packed, path = True, (*path, more[0])
-            if more[1] is None:
-                yield (*layer.span(at[0], at[-1] + 1), ">".join(path))
-                break
-            raw = more[1]
-            text = _text_of(raw)
-        if text is None:
+    """Layers of the base64 blocks that hold text, or compressed blocks down to text. A block that is too large gives a span instead.
+
+    A block may stand after a path or label and before other letters, and in lines of any width: a run of its
+    letters is read from each of its first four, so from any place in it in step with the block.
+    """
+    starts, ends = layer.spans() if layer.starts is not None else (None, None)
+    for m in _RUN.finditer(layer.text):
+        if m.end() - m.start() < RUN:
             continue
-        if packed:
-            a, b = layer.span(at[0], at[-1] + 1)
-            yield Layer(text, path, np.full(len(text), a, np.int64), np.full(len(text), b, np.int64))
+        body = m[0].rstrip("=")
+        where = np.arange(m.start(), m.start() + len(body), dtype=np.int64)
+        if "\n" in body:
+            where = where[[c not in "\r\n" for c in body]]
+            body = body.replace("\r", "").replace("\n", "")
+        if len(body) < RUN:
             continue
-        # byte i lies in base64 characters 4i/3 to 4i/3 + 1
-        sizes = np.array([len(c.encode()) for c in text]) if len(text) != len(raw) else np.ones(len(text), np.int64)
-        first = np.cumsum(sizes) - sizes
-        last = first + sizes - 1
-        starts, ends = layer.spans() if layer.starts is not None else (None, None)
-        where = np.array(at, np.int64)
-        a, b = where[first * 8 // 6], where[np.minimum((last * 8 + 7) // 6, len(at) - 1)]
-        yield Layer(text, path, a if starts is None else starts[a], b + 1 if ends is None else ends[b])
+        letters = body.replace("-", "+").replace("_", "/")
+        bare = {0, *(x.end() for x in _AFTER.finditer(body))}
+        for k in range(4):
+            rest = letters[k:]
+            rest = rest[: len(rest) - (len(rest) % 4 == 1)]
+            raw = base64.b64decode(rest + "=" * (-len(rest) % 4))
+            at = where[k:]
+            for text, first, last in _texts_of(raw):
+                # byte i lies in base64 characters 4i/3 to 4i/3 + 1
+                a, b = at[first * 8 // 6], at[np.minimum((last * 8 + 7) // 6, len(at) - 1)]
+                yield Layer(text, (*layer.path, "base64"), a if starts is None else starts[a], b + 1 if ends is None else ends[b])
+            a, b = layer.span(int(where[0]), int(where[-1]) + 1)
+            for path, text in _unpacked(raw, [(s - k) * 3 // 4 for s in bare if s >= k and (s - k) % 4 == 0]):
+                path = (*layer.path, "base64", *path)
+                if text is None:
+                    yield a, b, ">".join(path)
+                else:
+                    yield Layer(text, path, np.full(len(text), a, np.int64), np.full(len(text), b, np.int64))
 
 
 def entropy(value: str) -> float:
@@ -343,4 +335,4 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def at(c: str) -> Column:
         return F.col(f"f.{c}").alias(c)
 
-    return docs.select(docs[id_col].alias("doc_id"), F.explode(spans(docs[text_col])).alias("f")).select("doc_id", *map(at, ("rule", "start", "end", "layers", "digest")))
+    return docs.select(F.col(named(id_col)).alias("doc_id"), F.explode(spans(F.col(named(text_col)))).alias("f")).select("doc_id", *map(at, ("rule", "start", "end", "layers", "digest")))
