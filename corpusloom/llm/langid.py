@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import lowest_hashed, small_batches
+from corpusloom.llm.common import KEY, anchored, checkpoint, lowest_hashed, mix, named, small_batches, small_side, stable_rows
 
 #: Units of either direction, and the bytes that one recurrence runs over.
 HIDDEN, SPAN = 8, 128
-#: At most this many documents of each language fit the network, the lowest of a seeded hash; STEPS batches of BATCH spans.
+#: At most this many documents of each language fit the network, the lowest of a seeded hash of the row; STEPS batches of BATCH spans.
 TRAIN_DOCS, STEPS, BATCH = 300, 260, 96
-#: Characters of a training document that are fitted on; a document that is labelled is read whole.
-TRAIN_CHARS = 4000
+#: Spans of a training document that are fitted on, drawn evenly from its whole text; a text of no more is taken whole.
+TRAIN_SPANS = 32
 #: Spans that are run side by side; bounds memory.
 ABREAST = 2048
 
@@ -134,14 +134,31 @@ def spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.ascontiguousarray(flat.reshape(-1, SPAN).T), length, of
 
 
+def drawn(text: str, seed: int) -> list[bytes]:
+    """The spans of a text, or TRAIN_SPANS of them by a seeded hash of their number, wherever they are."""
+    raw = text.encode("utf-8", "surrogatepass")
+    many = -(-len(raw) // SPAN)
+    at = np.arange(many)
+    if many > TRAIN_SPANS:
+        at = np.sort(np.argsort(mix(at.astype(np.uint64) + np.uint64(seed % (1 << 63))), kind="stable")[:TRAIN_SPANS])
+    return [raw[k * SPAN : (k + 1) * SPAN] for k in at.tolist()]
+
+
 def fit(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 5) -> Network:
+    """``fit_spans`` on the drawn spans of texts."""
+    each = [drawn(t, k) for k, t in enumerate(texts)]
+    return fit_spans([s for e in each for s in e], [v for e, v in zip(each, langs, strict=True) for _ in e], steps, seed)
+
+
+def fit_spans(parts: list[bytes], langs: list[str], steps: int = STEPS, seed: int = 5) -> Network:
     """Adam on spans drawn evenly from the languages; every position of a span has its document's language."""
     names = sorted(set(langs))
     net = Network.fresh(names or ["und"])
-    if len(names) < 2 or not any(texts):
+    if len(names) < 2 or not parts:
         return net
-    x, length, of = spans(texts)
-    y = np.array([names.index(v) for v in langs])[of]
+    length = np.array([len(p) for p in parts], np.int64)
+    x = np.ascontiguousarray(np.frombuffer(b"".join(p.ljust(SPAN, b"\0") for p in parts), np.uint8).reshape(-1, SPAN).T)
+    y = np.array([names.index(v) for v in langs])
     pools = [np.flatnonzero(y == k) for k in range(len(names))]
     pools = [q for q in pools if len(q)]
     rng = np.random.default_rng(seed)
@@ -202,13 +219,22 @@ def pooled(net: Network, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, steps: int = STEPS) -> Network:
-    """Fit on documents whose ``lang`` is known: at most ``train_docs`` of each, by a seeded hash of the id."""
-    known = docs.where("lang is not null and text is not null and text <> ''")
-    chosen = lowest_hashed(known.select("lang", "doc_id"), "lang", "doc_id", train_docs, 10).where("doc_id is not null")
-    texts = known.select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    # a few hundred rows a language; of repeated ids every row is fitted on
-    rows = sorted(tuple(r) for r in texts.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("lang", "order", "text").collect())
-    return fit([r[2] for r in rows], [r[0] for r in rows], steps)
+    """Fit on documents whose ``lang`` is known: at most ``train_docs`` rows of each, by a seeded hash of the row, whatever its id.
+
+    The driver gets TRAIN_SPANS spans of each, cut on the executors from the whole text.
+    """
+    small_batches(docs.sparkSession)
+    known = stable_rows(anchored(docs), "lang", "text").where("lang is not null and text is not null and text <> ''")
+    chosen = checkpoint(lowest_hashed(known.select("lang", *KEY), "lang", KEY, train_docs, 10))
+
+    @F.pandas_udf("array<binary>")
+    def cut(text: pd.Series, order: pd.Series) -> pd.Series:
+        return pd.Series([drawn(t, int(o)) for t, o in zip(text, order, strict=True)], dtype=object)
+
+    few = known.join(small_side(chosen, chosen.count()), ["lang", *KEY])
+    rows = sorted((r.lang, r.order, r.cut) for r in few.select("lang", "order", cut("text", "order").alias("cut")).collect())
+    parts = [(bytes(p), lang) for lang, _, found in rows for p in found]
+    return fit_spans([p for p, _ in parts], [v for _, v in parts], steps)
 
 
 def identified(docs: DataFrame, net: Network | None = None) -> DataFrame:
