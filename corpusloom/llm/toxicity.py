@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SLAB_CHARS, lowest_hashed, slabs, small_batches, word_hashes
-from corpusloom.llm.simhash import MAX_BITS, fingerprints
+from corpusloom.llm.common import KEY, SLAB_CHARS, anchored, checkpoint, lowest_hashed, named, slabs, small_batches, small_side, stable_rows, word_hashes
+from corpusloom.llm.simhash import LANES, MAX_BITS, fingerprints
 
 #: Subsequences have three letters within a span of REACH characters; each character of the span costs DECAY.
 REACH, DECAY = 7, 0.7
@@ -25,12 +25,18 @@ TRAIN_DOCS = 2500
 TURNS = 4
 #: A word longer than this is read in windows that overlap by half.
 WINDOW = 32
-#: Letters get symbols 1 to 63; any other character is a gap (0).
-_LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøùúûüýÿßœ0123456789"
+#: Clean windows that the first round of fitting is given, and of high margin in each further round.
+CLEAN_FIRST, CLEAN_MORE = 3000, 1500
+#: Latin letters and digits get a symbol each, rare ones that of their base letter; letters and digits of other scripts share
+#: these by code point. Any other character is a gap (0), and so are several in a row.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäåæçèéêëìíîïñòóôöøùúûüýß0123456789"
 _SYMBOLS = 64
-SYMBOL = np.zeros(0x10000, np.uint8)
-for _k, _c in enumerate(_LETTERS[:63]):
+SYMBOL = np.array([c % 63 + 1 if chr(c).isalnum() else 0 for c in range(0x32400)], np.uint8)
+for _k, _c in enumerate(_LETTERS):
     SYMBOL[ord(_c)] = _k + 1
+for _c, _base in zip("ãõÿœ", "aoyo", strict=True):
+    SYMBOL[ord(_c)] = SYMBOL[ord(_base)]
+SYMBOL[-1] = 0
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -136,11 +142,14 @@ def text_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """Distinct windows of lowercased texts: symbols, window of each occurrence, its text, its start, and the joined text.
 
     A window is a word between spaces, whatever characters it has within ("id-iot", "m.o.r.o.n"), or a run of
-    words of one character each ("s c u m"). A word over WINDOW characters gives overlapping windows.
+    words of one character each ("s c u m"). Several gaps in a row count as one ("m...o...r"). A word over WINDOW characters gives overlapping windows.
     """
     lengths = np.array([len(t) + 1 for t in texts])
     joined = "\n".join(texts) + "\n"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    gap = (SYMBOL[np.minimum(codes, len(SYMBOL) - 1)] == 0) & (codes != 32) & ((codes < 9) | (codes > 13)) & (codes != 0xA0)
+    kept = np.flatnonzero(~(gap & np.r_[False, gap[:-1]]))
+    codes = codes[kept]
     blank = (codes == 32) | ((codes >= 9) & (codes <= 13)) | (codes == 0xA0)
     inside = ~blank
     # a single blank between two lone characters belongs to a spaced-out word; ends of texts never do
@@ -171,7 +180,8 @@ def text_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     first[which[::-1]] = np.arange(len(which))[::-1]
     begin, end = starts[first], ends[first]
     at = begin[:, None] + np.arange(WINDOW)
-    symbols = np.where(at < end[:, None], SYMBOL[np.minimum(codes[np.minimum(at, len(codes) - 1)], 0xFFFF)], 0)
+    symbols = np.where(at < end[:, None], SYMBOL[np.minimum(codes[np.minimum(at, len(codes) - 1)], len(SYMBOL) - 1)], 0)
+    starts, ends = kept[starts], kept[ends - 1] + 1
     of = np.searchsorted(np.cumsum(lengths), starts, side="right")
     return symbols, which, of, np.stack([starts, ends], axis=1), joined
 
@@ -212,36 +222,38 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, list
     return best, words
 
 
+def bag(text: str) -> tuple[bytes, list[bytes]]:
+    """A document's fingerprint and the distinct windows of its sentences, as the symbols of each."""
+    sentences = [s for part in _cut(text.lower()) for s in _SENTENCE.split(part) if s.strip()]
+    found = {row.tobytes().rstrip(b"\0") for a, b in slabs(sentences) for row in text_windows(sentences[a:b])[0]}
+    return fingerprints([text])[0, LANES:].tobytes(), sorted(found)
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
-    """Fit on labelled documents cut into sentences, which inherit the label; the sentence's top window stands for it.
+    """``fit_bags`` on the windows of texts."""
+    return fit_bags([bag(t) for t in texts], labels, seed)
+
 
-    Toxic sentences are a multiple-instance problem: at first the window whose letters are most particular to
+def fit_bags(bags: list[tuple[bytes, list[bytes]]], labels: np.ndarray, seed: int = 3) -> Model:
+    """Fit on the windows of labelled documents' sentences, which inherit the label; a document's top window stands for it.
+
+    Toxic documents are a multiple-instance problem: at first the window whose letters are most particular to
     toxic documents is its instance, later the one with the highest margin. Clean windows of high margin are added
     as negatives and the machine is fitted again. The threshold is the midpoint between classes on these documents.
     """
-    if len(texts):
-        texts, labels = _once(texts, labels)
-    sentences, owner = [], []
-    for i, t in enumerate(texts):
-        for s in _SENTENCE.split(t.lower()):
-            if s.strip():
-                sentences.append(s)
-                owner.append(i)
-    owner = np.array(owner, np.int64)
-    if not len(sentences) or labels.min(initial=1) == labels.max(initial=0):
-        return Model(np.zeros(_SYMBOLS**3, np.float32), -1.0)
-    found = [text_windows(sentences[a:b])[:3] for a, b in slabs(sentences)]
-    base = np.cumsum([0] + [b - a for a, b in slabs(sentences)])
-    symbols, back = np.unique(np.concatenate([f[0] for f in found]), axis=0, return_inverse=True)
-    offset = np.cumsum([0] + [len(f[0]) for f in found])
-    which = back.ravel()[np.concatenate([f[1] + o for f, o in zip(found, offset, strict=False)])]
-    sentence = np.concatenate([f[2] + o for f, o in zip(found, base, strict=False)])
-    del found, sentences
-    doc = owner[sentence]
-    toxic = labels[doc] == 1
+    none = Model(np.zeros(_SYMBOLS**3, np.float32), -1.0)
+    if len(bags):
+        prints = np.stack([np.frombuffer(p, np.uint64) for p, _ in bags])
+        keep = _once(prints, labels)
+        bags, labels = [b for b, k in zip(bags, keep, strict=True) if k], labels[keep]
+    flat = [w for _, ws in bags for w in ws]
+    if not flat or labels.min(initial=1) == labels.max(initial=0):
+        return none
+    known = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+    symbols = np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for w in known), np.uint8).reshape(-1, WINDOW)
+    window, of = np.array([known[w] for w in flat], np.int64), np.repeat(np.arange(len(bags)), [len(ws) for _, ws in bags])
+    del flat, known
     # documents of either class with each window
-    pairs = np.unique(which.astype(np.int64) * (len(texts) + 1) + doc)
-    window, of = pairs // (len(texts) + 1), pairs % (len(texts) + 1)
     bad = np.bincount(window[labels[of] == 1], minlength=len(symbols))
     good = np.bincount(window[labels[of] == 0], minlength=len(symbols))
     usable = (symbols > 0).sum(axis=1) >= 3
@@ -264,8 +276,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
     positive = np.unique(np.r_[_cover(bag_window, bag, pure), np.flatnonzero((bad >= often) & (odds > 2.5) & (good == 0))])
     positive = positive[odds[positive] > 0]
     if not len(positive) or not len(clean):
-        return Model(np.zeros(_SYMBOLS**3, np.float32), -1.0)
-    negative = clean[rng.permutation(len(clean))[:3000]]
+        return none
+    negative = clean[rng.permutation(len(clean))[:CLEAN_FIRST]]
     for turn in range(TURNS):
         marks = _landmarks(symbols, positive, bad, negative)
         values, axes = np.linalg.eigh(kernel(symbols[marks], symbols[marks]))
@@ -278,39 +290,41 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
         model = Model(spread(at, root @ w / norms(at), np.zeros(_SYMBOLS**3)).astype(np.float32), bias)
         margins = model.score(symbols)
         if turn + 1 < TURNS:
-            hard = clean[np.argsort(-margins[clean])[:1500]]
+            hard = clean[np.argsort(-margins[clean])[:CLEAN_MORE]]
             negative = np.setdiff1d(np.r_[negative, hard[margins[hard] > -1]], positive)
             again = tops(np.where((good == 0) & usable, margins, -9))
             again = again[(margins[again] > 0) & (odds[again] > 0)]
             positive = np.setdiff1d(np.r_[positive, again], negative)
-    top = np.full(len(texts), -9.0)
-    np.maximum.at(top, doc, margins[which])
-    # the cut of least cost, a false alarm on a clean document counting three times; of equal cuts the middle
+    top = np.full(len(bags), -9.0)
+    np.maximum.at(top, of, margins[window])
+    # the cut of least cost, a false alarm on a clean document counting three times; of equal cuts the middle. Nine in ten of
+    # the insults' forms with gaps stay above it, however few of them the documents have
     grid = np.unique(top)
     bad_below = np.searchsorted(np.sort(top[labels == 1]), grid, side="right")
     good_above = (labels == 0).sum() - np.searchsorted(np.sort(top[labels == 0]), grid, side="right")
     cost = 3 * good_above + bad_below
-    best = int(cost.argmin())
-    above = grid[best + 1] if best + 1 < len(grid) else grid[best] + 1
+    formed = np.quantile(model.score(_gapped(symbols[positive])), 0.1) if len(_gapped(symbols[positive])) else np.inf
+    best = int(np.where(grid <= max(formed, grid[0]), cost, len(top) * 4).argmin())
+    above = min(grid[best + 1] if best + 1 < len(grid) else grid[best] + 1, max(formed, grid[best]))
     model.threshold = float((grid[best] + above) / 2)
     return model
 
 
 def _gapped(symbols: np.ndarray) -> np.ndarray:
-    """Of windows with four letters or more, the forms with a gap after every letter and with one gap in the middle."""
+    """Of windows with four letters or more, the forms with a gap after every letter and with one gap in the middle; of long ones, of their first and their last half."""
     out = []
     for row in symbols:
-        letters = row[row > 0][: WINDOW // 2]
-        if len(letters) >= 4:
-            for forms in (np.stack([letters, np.zeros_like(letters)], axis=1).ravel(), np.insert(letters, len(letters) // 2, 0)):
-                out.append(np.pad(forms[:WINDOW], (0, max(0, WINDOW - len(forms)))))
+        letters, half = row[row > 0], WINDOW // 2
+        for part in [letters] if len(letters) <= half else [letters[:half], letters[-half:]]:
+            if len(part) >= 4:
+                for forms in (np.stack([part, np.zeros_like(part)], axis=1).ravel(), np.insert(part, len(part) // 2, 0)):
+                    out.append(np.pad(forms, (0, WINDOW - len(forms))))
     return np.array(out, symbols.dtype).reshape(-1, WINDOW)
 
 
-def _once(texts: list[str], labels: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """One text of each group of near copies with the same label, so that a copied document's words don't pass for insults."""
-    prints = fingerprints(texts)
-    keep = np.ones(len(texts), bool)
+def _once(prints: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """One of each group of near copies with the same label, so that a copied document's words don't pass for insults."""
+    keep = np.ones(len(prints), bool)
     for side in (0, 1):
         left = np.flatnonzero((labels == side) & prints.any(axis=1))
         while len(left):
@@ -318,7 +332,7 @@ def _once(texts: list[str], labels: np.ndarray) -> tuple[list[str], np.ndarray]:
             hit[0] = True
             keep[left[hit][1:]] = False
             left = left[~hit]
-    return [t for t, k in zip(texts, keep, strict=True) if k], labels[keep]
+    return keep
 
 
 def _cover(window: np.ndarray, bag: np.ndarray, useful: np.ndarray) -> np.ndarray:
@@ -344,12 +358,23 @@ def _landmarks(symbols: np.ndarray, positive: np.ndarray, bad: np.ndarray, negat
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on the labelled documents: at most ``train_docs`` of either class, by a seeded hash of the id."""
+    """Fit on the labelled documents: at most ``train_docs`` rows of either class, by a seeded hash of the row, whatever its id.
+
+    The driver gets the distinct windows of each, cut on the executors from the whole text.
+    """
+    small_batches(docs.sparkSession)
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = lowest_hashed(known, "toxic", "doc_id", train_docs, 20).select("doc_id", "toxic")
-    rows = docs.select(F.col("doc_id"), F.col("text")).where("text is not null").join(chosen.hint("broadcast"), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable")
-    return fit(list(rows["text"]), rows["toxic"].to_numpy().astype(np.int64))
+    rows = stable_rows(anchored(docs), "doc_id", "text").where("text is not null")
+    chosen = checkpoint(lowest_hashed(rows.select("doc_id", *KEY).join(known, "doc_id").select("toxic", *KEY), "toxic", KEY, train_docs, 20))
+
+    @F.pandas_udf("struct<print:binary,windows:array<binary>>")
+    def cut(text: pd.Series) -> pd.DataFrame:
+        found = [bag(t) for t in text]
+        return pd.DataFrame({"print": [p for p, _ in found], "windows": pd.Series([w for _, w in found], dtype=object)})
+
+    few = rows.join(small_side(chosen, chosen.count()), list(KEY)).select("toxic", "order", cut("text").alias("bag"))
+    found = sorted(((r.toxic, r.order, bytes(r.bag["print"]), [bytes(w) for w in r.bag["windows"]]) for r in few.toLocalIterator()), key=lambda x: x[:3])
+    return fit_bags([x[2:] for x in found], np.array([x[0] for x in found], np.int64))
 
 
 def verdict(docs: DataFrame, model: Model, text_col: str = "text"):
@@ -365,7 +390,7 @@ def verdict(docs: DataFrame, model: Model, text_col: str = "text"):
         words = [w if t else None for w, t in zip(words, toxic, strict=True)]
         return pd.DataFrame({"score": pd.array(scores, "Float32"), "window": pd.Series(words, dtype=object), "toxic": toxic})
 
-    return judge(F.col(text_col))
+    return judge(F.col(named(text_col)))
 
 
 def judged(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -380,5 +405,9 @@ def judged(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with all their columns."""
+    """The rows of ``docs`` that aren't toxic, with all their columns, under whatever names.
+
+    Null and empty texts stay, repeated rows are decided alike. Without labels of both classes all rows stay. An
+    empty table stays empty.
+    """
     return docs.where(~verdict(docs, train(docs, labels, train_docs))["toxic"])
