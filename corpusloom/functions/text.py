@@ -15,11 +15,13 @@ VERB = rf"(?iuU)\b[а-яё]{{3,}}(?:{_VOWEL}(?:ть(?:ся)?|л[аои]?(?:с[ь
 #: Words that may stand before a number.
 LABEL = "(?:Раздел|Пункт|Часть)?"
 FENCE = "```"
+#: White space of any script.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any script around."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -91,7 +93,8 @@ def short_title(line: Column) -> Column:
 def json_string(c: Column) -> Column:
     """A JSON string literal with letters of any script as they are."""
     quoted = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    short = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+    for raw, name in ((x, short.get(x, f"\\u{ord(x):04x}")) for x in map(chr, range(32))):
         quoted = F.replace(quoted, F.lit(raw), F.lit(name))
     return F.concat(F.lit('"'), quoted, F.lit('"'))
 

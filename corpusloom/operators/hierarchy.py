@@ -48,18 +48,26 @@ def classified(verb: Callable[[Column], Column] = T.contains_verb) -> Column:
         kind, value = F.lit("paragraph"), F.lit(None).cast("string")
         for test, name, found in reversed(chain):
             kind, value = F.when(test, F.lit(name)).otherwise(kind), F.when(test, found).otherwise(value)
+        # most lines begin with a capital: one look at the first character spares them the patterns
+        begin = F.left(line, F.lit(1))
+        marked, digit = F.regexp_like(begin, F.lit(r"(?U)[\da-zа-яРПЧ•*-]")), F.regexp_like(begin, F.lit(r"(?U)\d"))
+        kind, value = F.when(marked, kind).otherwise(F.lit("paragraph")), F.when(marked, value)
         # a dotted or simple number clears the list state only when it has dots
-        plain = (dotted != "") | (simple != "")
-        caption = F.regexp_extract(line, r"(?iuU)^Таблица\s+(\d+)\b", 1)
-        return F.struct(x["at"].alias("at"), line.alias("line"), x["raw"].alias("raw"), kind.alias("kind"), value.alias("number"), (dotted != "").alias("dotted"), plain.alias("numbered"), ((~plain) & verb(line)).alias("verb"), F.nullif(caption, F.lit("")).alias("caption"))
+        deep, plain = digit & (dotted != ""), digit & ((dotted != "") | (simple != ""))
+        caption = F.when(F.lower(begin) == "т", F.nullif(F.regexp_extract(line, r"(?iuU)^Таблица\s+(\d+)\b", 1), F.lit("")))
+        return F.struct(x["at"].alias("at"), line.alias("line"), x["raw"].alias("raw"), kind.alias("kind"), value.alias("number"), deep.alias("dotted"), plain.alias("numbered"), ((~plain) & verb(line)).alias("verb"), caption.alias("caption"))
 
     return F.transform("lines", one)
 
 
-#: Index of the first line that belongs to a section, of the lines ``ls``.
-CUT = """CASE WHEN exists(ls, x -> x.verb)
-    THEN coalesce(array_max(filter(transform(ls, (x, i) -> CASE WHEN x.numbered THEN i END), i -> i IS NOT NULL AND i < array_position(transform(ls, x -> x.verb), true) - 1)), 0)
-    ELSE coalesce(array_min(transform(ls, (x, i) -> CASE WHEN x.numbered THEN i END)), 0) END"""
+def settled(df: DataFrame, **columns: Column | str) -> DataFrame:
+    """``df`` with more columns, which are worked out once a row.
+
+    The optimiser puts an expression in place of a column even inside a lambda, where it is then repeated for each
+    element; it doesn't across a generator.
+    """
+    more = [(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]
+    return df.select(F.inline_outer(F.array(F.struct(*(F.col(c) for c in df.columns if c not in columns), *more))))
 
 
 def _fold() -> str:
@@ -106,82 +114,98 @@ def _fold() -> str:
         ELSE {regular} END"""
 
 
-def section_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verb: Callable[[Column], Column] = T.contains_verb) -> DataFrame:
-    """A row per document: ``doc_id, ls`` (its classified lines), ``cut``, ``heads`` and ``zero``, whether it has a preamble section."""
-    rows = with_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", classified(verb).alias("ls"))
-    rows = rows.withColumn("cut", F.expr(CUT))
+def section_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verb: Callable[[Column], Column] = T.contains_verb, kept: Column | None = None) -> DataFrame:
+    """A row per document: ``doc_id, kept, ls`` (its classified lines), ``cut``, ``heads`` of its sections, ``start`` (the first section's line), ``zero_at`` (the preamble's) and ``owners`` (the section of each line)."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.lit(None).cast("string") if kept is None else kept).alias("kept"), F.col(text_col).alias("text"))
+    rows = settled(with_lines(rows).drop("text"), ls=classified(verb)).drop("lines")
+    # lines before the cut are the preamble: it ends at the last number before the first line with a verb, else at the first number
+    rows = settled(rows, marks=F.expr("filter(transform(ls, (x, i) -> CASE WHEN x.numbered THEN i END), i -> i IS NOT NULL)"), spoken=F.expr("array_min(filter(transform(ls, (x, i) -> CASE WHEN x.verb THEN i END), i -> i IS NOT NULL))"), fences=F.expr("filter(transform(ls, (x, i) -> CASE WHEN startswith(x.line, '```') THEN i END), i -> i IS NOT NULL)"))
+    rows = settled(rows, cut="CASE WHEN spoken IS NOT NULL THEN coalesce(array_max(filter(marks, i -> i < spoken)), 0) ELSE coalesce(get(marks, 0), 0) END")
     # the fence of a caption's table: index of its opening line, then of its closing one
     opened = f"array_min(filter(transform(slice(ls, i + 2, {CAPTION_LINES + 1}), (y, k) -> CASE WHEN startswith(y.line, '```json') THEN i + 1 + k END), k -> k IS NOT NULL))"
-    shut = "array_min(filter(transform(ls, (y, k) -> CASE WHEN k > o AND startswith(y.line, '```') THEN k END), k -> k IS NOT NULL))"
+    shut = "array_min(filter(fences, k -> k > o))"
     event = f"""element_at(transform(array({opened}), o -> named_struct('i', i, 'kind', CASE WHEN i < cut THEN 'paragraph' ELSE x.kind END, 'number', x.number, 'dotted', x.dotted, 'line', x.line,
         'caption', x.caption, 'title', regexp_replace(regexp_replace(x.line, '(?U)^\\\\s*\\\\d+(?:\\\\.\\\\d+)*\\\\.?\\\\s*', ''), '(?U)^\\\\s+|\\\\s+$', ''),
         'name', CASE WHEN x.caption IS NOT NULL AND o IS NOT NULL THEN try_element_at(filter(slice(ls, i + 2, o - i), y -> NOT startswith(y.line, '```')), 1).line END,
         'upto', CASE WHEN x.caption IS NOT NULL AND o IS NOT NULL THEN {shut} END)), 1)"""
-    events = f"filter(transform(ls, (x, i) -> CASE WHEN x.caption IS NOT NULL OR x.kind IN ('simple', 'multi_level') THEN {event} END), e -> e IS NOT NULL)"
+    rows = settled(rows, events=f"filter(transform(ls, (x, i) -> CASE WHEN x.caption IS NOT NULL OR x.kind IN ('simple', 'multi_level') THEN {event} END), e -> e IS NOT NULL)")
     begin = f"named_struct('first1', true, 'listing', false, 'last_flat', cast(null AS decimal(38,0)), 'upper', false, 'busy', 0, 'stack', cast(array() AS {_STACK}), 'heads', cast(array() AS {_HEADS}))"
-    rows = rows.withColumn("heads", F.expr(f"aggregate({events}, {begin}, (s, e) -> {_fold()}, s -> s.heads)"))
-    return rows.select("doc_id", "ls", "cut", "heads")
+    rows = settled(rows.select("doc_id", "kept", "ls", "cut", "events"), heads=f"aggregate(events, {begin}, (s, e) -> {_fold()}, s -> s.heads)")
+    rows = settled(rows.drop("events"), start="coalesce(get(heads, 0).i, size(ls))")
+    # preamble: lines before the cut, then paragraphs before the first section; a list ahead of both has no section
+    rows = settled(rows, zero_at="array_min(filter(transform(slice(ls, 1, start), (x, i) -> CASE WHEN i < cut OR x.kind = 'paragraph' THEN i END), i -> i IS NOT NULL))")
+    # a line belongs to the table around it, else to the section opened last
+    until = "coalesce(get(heads, k + 1).i, size(ls))"
+    owners = f"flatten(transform(heads, (h, k) -> CASE WHEN h.stacked THEN array_repeat(k, {until} - h.i) ELSE concat(array_repeat(k, h.upto - h.i + 1), array_repeat(h.parent, {until} - h.upto - 1)) END))"
+    return settled(rows, owners=f"concat(transform(slice(ls, 1, start), (x, i) -> CASE WHEN i >= zero_at THEN 0 ELSE -1 END), transform({owners}, k -> k + CASE WHEN zero_at IS NULL THEN 0 ELSE 1 END))")
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verb: Callable[[Column], Column] = T.contains_verb) -> DataFrame:
-    """``doc_id, line_idx, line, kind, number, owner``: owner is the section's index, -1 in a list before any section, null if dropped.
+    """``doc_id, line_idx, line, kind, number, owner``: owner is the section's index, or -1 in a list before any section.
 
-    A table's own lines belong to it, what stands between its caption and fence to nothing; the lines after it
-    to the section that is open.
+    A table's own lines belong to it, also what stands between its caption and fence, which is not in its content; the lines
+    after it to the section that is open.
     """
     rows = section_rows(docs, id_col, text_col, verb)
-    # preamble: lines before the cut, then paragraphs before the first section; a list ahead of both has no section
-    start = "coalesce(array_min(transform(filter(heads, h -> h.stacked), h -> h.i)), size(ls))"
-    rows = rows.withColumn("start", F.expr(start))
-    rows = rows.withColumn("zero_at", F.expr("array_min(filter(transform(slice(ls, 1, start), (x, i) -> CASE WHEN i < cut OR x.kind = 'paragraph' THEN i END), i -> i IS NOT NULL))"))
-    each = rows.select("doc_id", "heads", "start", "zero_at", "cut", F.posexplode_outer("ls").alias("line_idx", "x")).where("line_idx is not null")
-    shift = "CASE WHEN zero_at IS NULL THEN 0 ELSE 1 END"
-    inside = "array_max(filter(transform(heads, (h, k) -> CASE WHEN NOT h.stacked AND line_idx BETWEEN h.i AND h.upto THEN k END), k -> k IS NOT NULL))"
-    latest = "array_max(filter(transform(heads, (h, k) -> CASE WHEN h.stacked AND h.i <= line_idx THEN k END), k -> k IS NOT NULL))"
-    owner = f"CASE WHEN line_idx < start THEN CASE WHEN line_idx >= zero_at THEN 0 ELSE -1 END ELSE coalesce({inside}, {latest}) + {shift} END"
-    return each.select("doc_id", "line_idx", "x.line", F.when(F.col("line_idx") < F.col("cut"), F.lit("preamble")).otherwise(F.col("x.kind")).alias("kind"), "x.number", F.expr(owner).alias("owner"))
-
-
-def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verb: Callable[[Column], Column] = T.contains_verb) -> DataFrame:
-    """``doc_id, section_idx, number, title, level, parent_idx, parent_number, children, tables, content, para_first, para_last``.
-
-    All of it is worked out inside the document's row. Lines keep their order; ``para_first`` and ``para_last``
-    are the first and last line of the document that equals any line of the section. A null or blank text has
-    no section. Repeated rows give repeated sections.
+    each = rows.select("doc_id", "cut", F.posexplode_outer(F.arrays_zip("ls", "owners")).alias("line_idx", "z")).where("line_idx is not null")
+    kind = F.when(F.col("line_idx") < F.col("cut"), F.lit("preamble")).otherwise(F.col("z.ls.kind"))
+    return each.select("doc_id", "line_idx", F.col("z.ls.line").alias("line"), kind.alias("kind"), F.col("z.ls.number").alias("number"), F.col("z.owners").alias("owner"))
+
+
+def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verb: Callable[[Column], Column] = T.contains_verb, kept: Column | None = None) -> DataFrame:
+    """``doc_id, section_idx, number, title, level, parent_idx, parent_number, children, tables, content, para_first, para_last``, and ``kept`` if given.
+
+    All of it is worked out inside the document's row, in about the time that its lines need to be sorted. Lines keep their
+    order; ``para_first`` and ``para_last`` are the first and last line of the document that equals any line of the section.
+    ``kept`` is a column that the document's sections carry along. A null or blank text has no section. Repeated rows give
+    repeated sections.
     """
-    rows = section_rows(docs, id_col, text_col, verb)
-    rows = rows.withColumn("start", F.expr("coalesce(array_min(transform(filter(heads, h -> h.stacked), h -> h.i)), size(ls))"))
-    rows = rows.withColumn("zero_at", F.expr("array_min(filter(transform(slice(ls, 1, start), (x, i) -> CASE WHEN i < cut OR x.kind = 'paragraph' THEN i END), i -> i IS NOT NULL))"))
-    zero = "array(named_struct('i', zero_at, 'number', '0', 'title', CASE WHEN length(ls[zero_at].line) > 50 THEN concat(left(ls[zero_at].line, 50), '...') ELSE ls[zero_at].line END, 'level', 0, 'parent', cast(null AS int), 'stacked', false, 'same', cast(null AS string), 'upto', start - 1))"
-    moved = f"transform(heads, h -> named_struct('i', h.i, 'number', h.number, 'title', h.title, 'level', h.level, 'parent', h.parent + CASE WHEN zero_at IS NULL THEN 0 ELSE 1 END, 'stacked', h.stacked, 'same', h.same, 'upto', h.upto))"
-    rows = rows.withColumn("all", F.expr(f"CASE WHEN zero_at IS NULL THEN cast(heads AS {_HEADS}) ELSE concat(cast({zero} AS {_HEADS}), cast({moved} AS {_HEADS})) END"))
-    each = rows.select("doc_id", "ls", "all", F.posexplode_outer("all").alias("section_idx", "h")).where("section_idx is not null")
-    end = "coalesce(array_min(transform(filter(all, g -> g.stacked AND g.i > h.i), g -> g.i)), size(ls))"
-    each = each.withColumn("end", F.expr(end))
-    tabled = "exists(all, g -> NOT g.stacked AND g.level > 0 AND i BETWEEN g.i AND g.upto)"
-    body = f"transform(filter(transform(ls, (x, i) -> named_struct('i', i, 'line', x.line)), y -> y.i > h.i AND y.i < end AND NOT exists(all, g -> NOT g.stacked AND g.level > 0 AND y.i BETWEEN g.i AND g.upto)), y -> y.line)"
-    fence = "transform(slice(ls, h.i + 2, h.upto - h.i), x -> x.raw)"
-    opened = f"array_position(transform({fence}, r -> startswith(trim(r), '```json')), true)"
-    table = f"concat(array(ls[h.i].raw), filter(array(try_element_at(filter(transform(slice(ls, h.i + 2, h.upto - h.i), x -> x.line), l -> NOT startswith(l, '```')), CASE WHEN {opened} > 1 THEN 1 ELSE 1000000000 END)), c -> c IS NOT NULL), slice({fence}, cast({opened} AS int), 1000000000))"
-    content = f"""array_join(CASE WHEN h.stacked THEN concat(array(concat(h.number, '. ', h.title)), {body})
-        WHEN h.level = 0 THEN transform(slice(ls, h.i + 1, h.upto - h.i + 1), x -> x.line) ELSE {table} END, '\\n')"""
-    parent = "CASE WHEN h.parent IS NOT NULL THEN all[h.parent].number END"
-    kids = "transform(filter(all, g -> g.parent = section_idx), g -> g.number)"
-    tables = "transform(filter(all, g -> g.parent = section_idx AND NOT g.stacked), g -> g.number)"
-    out = each.select("doc_id", "section_idx", "h.number", "h.title", "h.level", F.col("h.parent").alias("parent_idx"), F.expr(parent).alias("parent_number"), F.expr(kids).alias("children"), F.expr(tables).alias("tables"), F.expr(content).alias("content"), "ls")
-    hits = "filter(transform(ls, (x, i) -> CASE WHEN array_contains(parts, x.line) THEN i END), i -> i IS NOT NULL)"
-    out = out.withColumn("parts", F.transform(F.split("content", "\n"), T.strip))
-    # a heading is rendered without what followed its number in the text, so its own line counts as well
-    return out.withColumn("hits", F.expr(hits)).select("doc_id", "section_idx", "number", "title", "level", "parent_idx", "parent_number", "children", "tables", "content", F.array_min("hits").alias("para_first"), F.array_max("hits").alias("para_last"))
+    rows = section_rows(docs, id_col, text_col, verb, kept)
+    zero = "named_struct('i', zero_at, 'number', '0', 'title', CASE WHEN length(ls[zero_at].line) > 50 THEN concat(left(ls[zero_at].line, 50), '...') ELSE ls[zero_at].line END, 'level', 0, 'parent', cast(null AS int), 'stacked', false, 'same', cast(null AS string), 'upto', start - 1)"
+    moved = "transform(heads, h -> named_struct('i', h.i, 'number', h.number, 'title', h.title, 'level', h.level, 'parent', h.parent + 1, 'stacked', h.stacked, 'same', h.same, 'upto', h.upto))"
+    rows = settled(rows, all=f"CASE WHEN zero_at IS NULL THEN cast(heads AS {_HEADS}) ELSE concat(cast(array({zero}) AS {_HEADS}), cast({moved} AS {_HEADS})) END").drop("heads")
+    # sorted with an entry of its own ahead, the children of a section, its lines, and equal lines are runs
+    rows = settled(
+        rows,
+        kids="array_sort(concat(transform(all, (h, k) -> named_struct('p', k, 'c', -1, 'number', '', 'tab', false)), filter(transform(all, (h, k) -> named_struct('p', h.parent, 'c', k, 'number', h.number, 'tab', NOT h.stacked)), e -> e.p IS NOT NULL)))",
+        owned="array_sort(concat(transform(all, (h, k) -> named_struct('o', k, 'i', -1, 'line', '', 'raw', '')), transform(ls, (x, i) -> named_struct('o', owners[i], 'i', i, 'line', x.line, 'raw', x.raw))))",
+        equal="array_sort(transform(ls, (x, i) -> named_struct('line', x.line, 'i', i)))",
+    ).drop("owners")
+    rows = settled(
+        rows,
+        kid_at="filter(transform(kids, (e, j) -> CASE WHEN e.c < 0 THEN j END), j -> j IS NOT NULL)",
+        own_at="filter(transform(owned, (e, j) -> CASE WHEN e.i < 0 THEN j END), j -> j IS NOT NULL)",
+        equal_at="filter(transform(equal, (e, j) -> CASE WHEN j = 0 OR e.line <> equal[j - 1].line THEN j END), j -> j IS NOT NULL)",
+    )
+    tail = "coalesce(get(equal_at, r + 1), size(equal))"
+    spread = f"array_sort(flatten(transform(equal_at, (a, r) -> transform(slice(equal, a + 1, {tail} - a), m -> named_struct('i', m.i, 'lo', equal[a].i, 'hi', equal[{tail} - 1].i)))))"
+    rows = settled(rows, spread=spread, texts="transform(ls, x -> x.line)").drop("equal", "equal_at")
+    mine = "slice(kids, kid_at[k] + 2, coalesce(get(kid_at, k + 1), size(kids)) - kid_at[k] - 1)"
+    own = "slice(owned, own_at[k] + 2, coalesce(get(own_at, k + 1), size(owned)) - own_at[k] - 1)"
+    heading = "concat(h.number, '. ', h.title)"
+    # of a table: its line, the first line of its own if the fence doesn't follow at once, and the fence
+    fence = "coalesce(array_min(filter(transform(own, (y, j) -> CASE WHEN j > 0 AND startswith(y.line, '```json') THEN j END), j -> j IS NOT NULL)), size(own))"
+    shown = f"element_at(transform(array({fence}), o -> filter(own, (y, j) -> j = 0 OR j >= o OR (o > 1 AND j = array_min(filter(transform(own, (z, n) -> CASE WHEN n > 0 AND NOT startswith(z.line, '```') THEN n END), n -> n IS NOT NULL))))), 1)"
+    inner = f"CASE WHEN h.stacked THEN filter(own, y -> y.i > h.i) WHEN h.level = 0 THEN own ELSE {shown} END"
+    content = f"array_join(CASE WHEN h.stacked THEN concat(array({heading}), transform(part, y -> y.line)) WHEN h.level = 0 THEN transform(part, y -> y.line) ELSE transform(part, y -> y.raw) END, '\\n')"
+    # a heading is rendered without what followed its number in the text, and may then equal another line or none
+    said = "(CASE WHEN h.stacked THEN array(CASE WHEN told = ls[h.i].line THEN h.i + 1 ELSE array_position(texts, told) END) ELSE array() END)"
+    at = f"transform(filter(concat(cast({said} AS array<int>), transform(part, y -> y.i + 1)), i -> i > 0), i -> spread[i - 1])"
+    told = f"regexp_replace({heading}, '(?U)^\\\\s+|\\\\s+$', '')"
+    one = f"""element_at(transform(array({own}), own -> element_at(transform(array({inner}), part -> element_at(transform(array({told}), told -> element_at(transform(array({at}), at -> element_at(transform(array({mine}), mine -> named_struct(
+        'number', h.number, 'title', h.title, 'level', h.level, 'parent_idx', h.parent, 'parent_number', get(all, h.parent).number, 'children', transform(mine, e -> e.number), 'tables', transform(filter(mine, e -> e.tab), e -> e.number),
+        'content', {content}, 'para_first', array_min(transform(at, a -> a.lo)), 'para_last', array_max(transform(at, a -> a.hi)))), 1)), 1)), 1)), 1)), 1)"""
+    each = rows.select("doc_id", "kept", F.posexplode_outer(F.expr(f"transform(all, (h, k) -> {one})")).alias("section_idx", "s")).where("section_idx is not null")
+    return each.select("doc_id", "section_idx", "s.*", *([] if kept is None else ["kept"]))
 
 
 def flat_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, list_idx, list_type, items``: list lines before any section, in runs of one type."""
-    rows = lines_of(docs, id_col, text_col).where("owner = -1").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "kind", "line"))).alias("ls"))
-    runs = "filter(transform(ls, (x, i) -> CASE WHEN i = 0 OR ls[i - 1].kind <> x.kind THEN i END), i -> i IS NOT NULL)"
-    each = rows.withColumn("runs", F.expr(runs)).select("doc_id", "ls", "runs", F.posexplode_outer("runs").alias("list_idx", "i")).where("list_idx is not null")
-    items = "transform(slice(ls, i + 1, coalesce(get(runs, list_idx + 1), size(ls)) - i), x -> x.line)"
-    return each.select("doc_id", "list_idx", F.expr("CASE WHEN ls[i].kind = 'simple' THEN 'flat_list' ELSE ls[i].kind END").alias("list_type"), F.expr(items).alias("items"))
+    rows = settled(section_rows(docs, id_col, text_col), free="transform(filter(ls, (x, i) -> owners[i] = -1), x -> named_struct('kind', x.kind, 'line', x.line))").select("doc_id", "free")
+    rows = settled(rows, runs="filter(transform(free, (x, i) -> CASE WHEN i = 0 OR free[i - 1].kind <> x.kind THEN i END), i -> i IS NOT NULL)")
+    items = "transform(slice(free, a + 1, coalesce(get(runs, k + 1), size(free)) - a), x -> x.line)"
+    lists = f"transform(runs, (a, k) -> named_struct('list_type', CASE WHEN free[a].kind = 'simple' THEN 'flat_list' ELSE free[a].kind END, 'items', {items}))"
+    return rows.select("doc_id", F.posexplode_outer(F.expr(lists)).alias("list_idx", "l")).where("list_idx is not null").select("doc_id", "list_idx", "l.*")
 
 
 def sections_by_level(found: DataFrame, level: int) -> DataFrame:
