@@ -92,6 +92,32 @@ def oversized_sections(sections: DataFrame, size: int = 1000) -> DataFrame:
     return sections.where((F.size("children") == 0) & F.col("parent_idx").isNotNull() & (F.length("content") > size))
 
 
+def merged_chunks(sections: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
+    """Chunks of merged sibling leaves, and of the leaves too large for that, as one table.
+
+    ``merged`` tells them apart; a merged chunk has ``section_numbers``, ``parent_section`` and ``num_merged_sections``, is complete
+    and counts itself; a piece of a large leaf has what ``chunks`` gives it.
+    """
+    size = options.max_chunk_size
+    small = virtual_chunks(sections, size, options.chunk_overlap)
+    small = small.select(
+        "doc_id", F.col("parent_idx").alias("section_idx"), "chunk_number", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit("merged"), F.col("parent_idx").cast("string"), F.col("chunk_number").cast("string")), 256).alias("chunk_id"), "content",
+        F.element_at("section_numbers", 1).alias("section_number"), T.word_count(F.col("content")).alias("word_count"), "char_count", T.contains_lists(F.col("content")).alias("contains_lists"), F.lit(True).alias("is_complete_section"),
+        F.lit(0).alias("start_pos"), F.length("content").alias("end_pos"), F.lit("section_content").alias("chunk_type"), F.lit(True).alias("merged"), "section_numbers", "parent_section", "num_merged_sections",
+    )
+    large = chunks(oversized_sections(sections, size), options).withColumn("merged", F.lit(False))
+    return small.unionByName(large, allowMissingColumns=True)
+
+
+def leaf_groups(sections: DataFrame) -> DataFrame:
+    """``doc_id, parent_key, numbers, place``: leaves by their parent's number, without one by their number's prefix, else "root"; groups are placed by their first number as text."""
+    prefix = F.regexp_extract("number", r"^(.*)\.[^.]*$", 1)
+    key = F.coalesce("parent_number", F.when(prefix != "", prefix), F.lit("root"))
+    leaves = sections.where(F.size("children") == 0).select("doc_id", key.alias("parent_key"), F.struct("section_idx", "number").alias("s"))
+    found = leaves.groupBy("doc_id", "parent_key").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["number"]).alias("numbers"), F.min("s.section_idx").alias("first"))
+    return found.withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY numbers[0], first)")).drop("first")
+
+
 def chunk_stats(found: DataFrame) -> DataFrame:
     """By chunk type: how many, their characters in total, least, most and on average, and how many hold only part of a section."""
     size = F.length("content")
