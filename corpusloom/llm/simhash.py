@@ -103,7 +103,7 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
             at = np.array([i for i, _, _ in group])
             of, pairs = word_pairs([p for _, p, _ in group], np.array([c for _, _, c in group]))
             heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
-            spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(of)], strict=True))
+            spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(of)], strict=False))
             whole = [k for k, (a, _) in enumerate(spans) if len(texts[at[of[a]]]) <= SLAB]
             if whole:
                 put(at[of[heads[whole]]], pairs, [spans[k] for k in whole])
