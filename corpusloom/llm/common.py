@@ -112,18 +112,25 @@ def _is_scan(df: DataFrame) -> bool:
     return plan.nodeName() == "LogicalRelation"
 
 
+def is_anchored(df: DataFrame) -> bool:
+    """Whether the rows have a place in a file."""
+    try:
+        if _is_scan(df):
+            df.select(df.metadataColumn("_metadata")["row_index"])
+            return True
+    except AnalysisException:
+        pass
+    return False
+
+
 def anchored(df: DataFrame) -> DataFrame:
     """A DataFrame with the rows of ``df`` that reads them from files, so that each row has a lasting identity.
 
     That is ``df`` itself if it is a scan; else its rows are written to the shared folder, as a recomputed
     shuffle may order them otherwise.
     """
-    try:
-        if _is_scan(df):
-            df.select(df.metadataColumn("_metadata")["row_index"])
-            return df
-    except AnalysisException:
-        pass
+    if is_anchored(df):
+        return df
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from corpusloom.llm.common import checkpoint, ready_workers
+from corpusloom.llm.common import FID, ROW, checkpoint, is_anchored, named, ready_workers, stable_rows
 
 #: Tokens that a sequence holds.
 CAPACITY = 8192
@@ -15,7 +16,6 @@ CAPACITY = 8192
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens that one task packs together. Groups are as many as the corpus needs.
 GROUP_TOKENS = 4_000_000
-_OUT = "doc_id long, piece long, tokens long, cost double, pack_group long, sequence long, position long"
 
 
 def pack(tokens: np.ndarray, costs: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,28 +41,29 @@ def pack(tokens: np.ndarray, costs: np.ndarray, capacity: int) -> tuple[np.ndarr
 def packed(docs: DataFrame, tokens: Column, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, piece, tokens, cost, pack_group, sequence, position`` for every document, or piece of one.
 
-    A document over the capacity is cut into pieces of that many tokens; none of its tokens is lost. Documents
-    are spread over packing groups by a hash, and each group is packed by descending cost, ties by id (null
-    first) and piece; a sequence is named by its group and its number in it. Repeated rows are packed each.
-    Null and empty texts have no tokens and are in no sequence. Other columns are ignored, whatever their
-    names. An empty table gives an empty result.
+    A document over the capacity is cut into pieces of that many tokens; none of its tokens is lost. Pieces
+    are spread over packing groups by a hash of their row's place, so equal rows and null ids are spread as well, and each
+    group is packed by descending cost, ties by id (null first) and piece; a sequence is named by its group and its number in
+    it. Costs are balanced within a group; groups are alike as far as the hash makes them so. Ids may have any type that
+    can be sorted. Repeated rows are packed each. Null and empty texts have no tokens and are in no sequence. Other columns are
+    ignored, whatever their names. An empty table gives an empty result.
     """
     ready_workers(docs.sparkSession)
-    slim = checkpoint(docs.select(docs[id_col].cast("long").alias("doc_id"), tokens.cast("long").alias("n")).where("n > 0"))
+    # a scan's column may be part of tokens, which is resolved on docs itself
+    slim = checkpoint(stable_rows(docs, docs[named(id_col)].alias("doc_id"), tokens.cast("long").alias("n")) if is_anchored(docs) else docs.select(docs[named(id_col)].alias("doc_id"), tokens.cast("long").alias("n"), F.lit(0).alias(FID), F.monotonically_increasing_id().alias(ROW)))
+    slim = slim.where("n > 0")
     total = slim.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-int(total) // group_tokens))
-    cut = slim.select("doc_id", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {capacity})")).alias("piece"))
-    group = F.pmod(F.xxhash64("doc_id", "n", "piece"), F.lit(groups))
+    cut = slim.select("doc_id", "n", FID, ROW, F.explode(F.expr(f"sequence(0L, (n - 1) div {capacity})")).alias("piece"))
+    group = F.pmod(F.xxhash64(FID, ROW, "piece"), F.lit(groups))
     pieces = cut.select("doc_id", "piece", F.expr(f"least({capacity}L, n - piece * {capacity})").alias("tokens"), group.alias("pack_group"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         size = rows["tokens"].to_numpy(np.int64)
-        cost = linear * size + quadratic * size.astype(np.float64) ** 2
-        known = rows["doc_id"].notna().to_numpy()
-        ids = rows["doc_id"].fillna(0).to_numpy(np.int64)
-        order = np.lexsort((rows["piece"].to_numpy(), ids, known, -cost))
-        rows = rows.iloc[order].reset_index(drop=True)
-        sequence, position = pack(size[order], cost[order], capacity)
-        return pd.DataFrame({"doc_id": rows["doc_id"], "piece": rows["piece"], "tokens": rows["tokens"], "cost": cost[order], "pack_group": rows["pack_group"], "sequence": sequence, "position": position})
+        rows = rows.assign(cost=linear * size + quadratic * size.astype(np.float64) ** 2, less=-(linear * size + quadratic * size.astype(np.float64) ** 2))
+        rows = rows.sort_values(["less", "doc_id", "piece"], na_position="first", kind="stable", ignore_index=True)
+        sequence, position = pack(rows["tokens"].to_numpy(np.int64), rows["cost"].to_numpy(), capacity)
+        return rows[["doc_id", "piece", "tokens", "cost", "pack_group"]].assign(sequence=sequence, position=position)
 
-    return pieces.groupBy("pack_group").applyInPandas(run, _OUT)
+    kinds = [StructField("doc_id", slim.schema["doc_id"].dataType), *(StructField(c, DoubleType() if c == "cost" else LongType()) for c in ("piece", "tokens", "cost", "pack_group", "sequence", "position"))]
+    return pieces.groupBy("pack_group").applyInPandas(run, StructType(kinds))
