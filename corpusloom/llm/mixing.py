@@ -10,7 +10,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checkpoint, small_side
+from corpusloom.llm.common import checkpoint, named, small_side
 
 #: A document is used at most EPOCHS times. An epoch has SEGMENTS equal parts; each further part costs one more a token.
 EPOCHS, SEGMENTS = 4, 4
@@ -113,7 +113,7 @@ def flow(tokens: Mapping[tuple[str, ...], int], quota: Mapping[str, int]) -> dic
 
 def _prepared(docs: DataFrame, pattern: Column, tokens: Column, id_col: str, seed: int) -> tuple[Column, Column, Column]:
     kept = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(pattern, F.array().cast("array<string>")))))
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs[id_col], kept, tokens), 1)
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs[named(id_col)], kept, tokens), 1)
     return kept, tokens, order
 
 
@@ -173,7 +173,7 @@ def _joined(docs: DataFrame, pattern: Column | None, tokens: Column | None, weig
     ranges = bounds(docs, pattern, tokens, weights, budget, id_col, seed)
     small = docs.sparkSession.createDataFrame([(list(p), r) for p, r in ranges.items()], "pattern array<string>, ranges array<struct<c:string,k0:long,h0:long,k1:long,h1:long>>")
     pat, _, order = _prepared(docs, pattern, tokens, id_col, seed)
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), pat.alias("pattern"), order.alias("hash"))
+    rows = docs.select(F.struct(*(docs[named(c)] for c in docs.columns)).alias("row"), pat.alias("pattern"), order.alias("hash"))
     uses = F.expr("filter(transform(ranges, r -> struct(r.c AS collection, r.k1 + int(hash < r.h1) - r.k0 - int(hash < r.h0) AS copies)), u -> u.copies > 0)")
     return rows.join(small_side(small, len(ranges)), "pattern").select("row", "hash", uses.alias("uses")).where("size(uses) > 0")
 
@@ -189,11 +189,15 @@ def assigned(docs: DataFrame, pattern: Column | None = None, tokens: Column | No
     their names. An empty table gives an empty result.
     """
     found = _joined(docs, pattern, tokens, weights, budget, id_col, seed)
-    return found.select(F.col(f"row.{id_col}").alias("doc_id"), F.explode("uses").alias("use")).select("doc_id", "use.collection", "use.copies")
+    return found.select(F.col("row")[id_col].alias("doc_id"), F.explode("uses").alias("use")).select("doc_id", "use.collection", "use.copies")
 
 
 def mixed(docs: DataFrame, pattern: Column | None = None, tokens: Column | None = None, weights: Mapping[str, float] | None = None, budget: float = 1.0, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, with all their columns, as often as ``assigned`` uses them."""
+    """The rows of ``docs``, with all their columns, under whatever names, as often as ``assigned`` uses them.
+
+    Nulls, texts without tokens, ties and repeated rows are decided as there: a document in no collection, or of a pattern
+    without any token, is used zero times. An empty table stays empty.
+    """
     found = _joined(docs, pattern, tokens, weights, budget, id_col, seed)
     copies = F.expr("aggregate(uses, 0L, (n, u) -> n + u.copies)")
     return found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("row.*")
