@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import KEY, SLAB_CHARS, anchored, checkpoint, connected, mix, named, small_batches, spare, stable_rows, word_hashes
 
 #: A fingerprint is LANES weighted SimHashes of 64 bits for the search and PLAIN words of one in which all features weigh alike.
+#: A feature's weight in a lane is the inverse square of a seeded uniform number, so that few features rule a lane, others in each.
 LANES, PLAIN = 8, 4
-#: A feature's weight in a lane is u ** -STEEP of a seeded uniform u, so that few features rule a lane, others in each.
-STEEP = 2.0
 #: Two documents are near copies if at most MAX_BITS of the 256 plain bits differ and, in some lane, at most RANGE of 64.
 MAX_BITS, RANGE = 64, 1
 #: Segments of a lane, of 4 bits, whose bit counts are its place in the grid.
@@ -27,6 +26,8 @@ _WORDS = LANES + PLAIN
 _SEEDS = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _SIGNS = mix(np.arange(1, PLAIN + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _HEAVIEST = 2.0**45
+#: The eight votes of each byte, 1 or -1.
+_BYTES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little") * 2.0 - 1
 
 
 def pieces(texts: list[str], limit: int) -> Iterator[tuple[int, str, bool]]:
@@ -71,19 +72,32 @@ def word_pairs(texts: list[str], continued: np.ndarray) -> tuple[np.ndarray, np.
     return of[new], pairs[new]
 
 
-def votes(features: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """(ranges, _WORDS, 64): of each range of features the signed votes for each bit. Weights are whole and sums below 2**53, so exact in any order."""
+def votes(features: np.ndarray, bounds: list[tuple[int, int]], run: int = 4096) -> np.ndarray:
+    """(ranges, _WORDS, 64): of each range of features the signed votes for each bit. Weights are whole and sums below 2**53, so exact in any order.
+
+    Ranges that follow each other are done about ``run`` features at a time, so that what they need stays in the processor's cache.
+    """
     out = np.zeros((len(bounds), _WORDS, 64))
-    uniform = [((mix(features ^ s) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53 for s in _SEEDS]
-    weights = [np.floor(np.minimum(u**-STEEP, _HEAVIEST)) for u in uniform]
-    for block, seed in enumerate(_SIGNS):
-        bits = np.unpackbits(mix(features ^ seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
-        lanes = range(block, LANES, PLAIN)
-        rows = np.stack([*(weights[l] for l in lanes), np.ones(len(features))])
-        to = [*lanes, LANES + block]
-        for k, (a, b) in enumerate(bounds):
-            part = rows[:, a:b]
-            out[k, to] = 2 * (part @ bits[a:b]) - part.sum(axis=1)[:, None]
+    room = np.empty((8 * min(run, max((b for _, b in bounds), default=0)), 8))
+    k = 0
+    while k < len(bounds):
+        first, upto = k, k + 1
+        while upto < len(bounds) and bounds[upto][1] - bounds[first][0] <= run:
+            upto += 1
+        k = upto
+        for low in range(bounds[first][0], bounds[upto - 1][1], run) if upto == first + 1 else [bounds[first][0]]:
+            part = features[low : min(low + run, bounds[upto - 1][1])]
+            rows = np.ones((_WORDS, len(part)))
+            for lane, seed in enumerate(_SEEDS):
+                u = ((mix(part ^ seed) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+                np.floor(np.minimum(1 / (u * u), _HEAVIEST), out=rows[lane])
+            for block, seed in enumerate(_SIGNS):
+                signs = np.take(_BYTES, mix(part ^ seed).view(np.uint8), axis=0, out=room[: 8 * len(part)], mode="clip").reshape(-1, 64)
+                to = slice(block, None, PLAIN)
+                mine = np.ascontiguousarray(rows[to])
+                for n in range(first, upto):
+                    a, b = max(0, bounds[n][0] - low), min(bounds[n][1] - low, len(part))
+                    out[n, to] += mine[:, a:b] @ signs[a:b]
     return out
 
 
@@ -123,8 +137,7 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
     flush()
     for i, found in parts.items():
         features = np.unique(np.concatenate(found))
-        total = sum(votes(features[s : s + 65536], [(0, len(features[s : s + 65536]))]) for s in range(0, len(features), 65536))
-        totals[i], some[i] = total[0] > 0, True
+        totals[i], some[i] = votes(features, [(0, len(features))])[0] > 0, True
     out = np.packbits(totals, axis=2, bitorder="little").view(np.uint64)[:, :, 0].copy()
     # a text whose votes are all negative has a word nevertheless
     out[some & ~out.any(axis=1), LANES] = 1
@@ -165,35 +178,72 @@ def near(x: np.ndarray, y: np.ndarray, max_bits: int) -> np.ndarray:
     return (bits[..., LANES:].sum(axis=-1, dtype=np.int32) <= max_bits) & (bits[..., :LANES].min(axis=-1) <= RANGE)
 
 
-def links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Edges that connect rows as all near pairs do: each row is compared with those that none has reached yet."""
-    left, found = np.arange(len(fps)), []
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            hit = near(fps[at], fps[left], max_bits)
-            reached = left[hit].tolist()
-            found += [(at, r) for r in reached]
-            queue += reached
-            left = left[~hit]
+def _hits(fps: np.ndarray, plain: np.ndarray, one: np.ndarray, two: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``one`` and ``two`` of near rows; the plain words decide first."""
+    a, b = [], []
+    for s in range(0, len(two), 4096):
+        part = two[s : s + 4096]
+        total = np.zeros((len(one), len(part)), np.uint16)
+        for word in plain:
+            total += np.bitwise_count(word[one, None] ^ word[None, part])
+        i, j = np.nonzero(total <= max_bits)
+        ok = np.bitwise_count(fps[one[i], :LANES] ^ fps[part[j], :LANES]).min(axis=1, initial=64) <= RANGE
+        a.append(i[ok])
+        b.append(j[ok] + s)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def links(fps: np.ndarray, max_bits: int, abreast: int = 128) -> list[tuple[int, int]]:
+    """Edges that connect rows as all near pairs do.
+
+    Rows are compared ``abreast``, of one component if there are enough, and then only with rows of others; rows
+    that have been compared with all others are done.
+    """
+    plain = np.ascontiguousarray(fps[:, LANES:].T)
+    group, done, found = np.arange(len(fps)), np.zeros(len(fps), bool), []
+    while not done.all() and (group != group[0]).any():
+        todo = np.flatnonzero(~done)
+        same = todo[group[todo] == group[todo[0]]][:abreast]
+        mixed = len(same) < min(abreast, len(todo)) // 4
+        one = todo[:abreast] if mixed else same
+        two = todo if mixed else todo[group[todo] != group[same[0]]]
+        if not len(two):
+            break
+        i, j = _hits(fps, plain, one, two, max_bits)
+        i, j = one[i], two[j]
+        apart = group[i] != group[j]
+        while apart.any():
+            # each of the other components joins the first of those that it is linked to
+            i, j = i[apart], j[apart]
+            high, low = np.maximum(group[i], group[j]), np.minimum(group[i], group[j])
+            order = np.lexsort((low, high))
+            first = order[np.r_[True, high[order][1:] != high[order][:-1]]]
+            found += list(zip(i[first].tolist(), j[first].tolist(), strict=True))
+            to = np.arange(len(fps))
+            to[high[first]] = low[first]
+            while (to[to] != to).any():
+                to = to[to]
+            group = to[group]
+            apart = group[i] != group[j]
+        done[one] = True
     return found
 
 
 def small_links(fps: np.ndarray, heads: np.ndarray, tails: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Near pairs within each of many small ranges of rows."""
-    a, b = [], []
-    size = tails - heads
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    plain, size = np.ascontiguousarray(fps[:, LANES:]), tails - heads
     for n in np.unique(size[size > 1]).tolist():
         i, j = np.triu_indices(n, 1)
-        for s in range(0, len(at := heads[size == n]), max(1, 100_000 // len(i))):
-            part = at[s : s + max(1, 100_000 // len(i))]
-            x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-            hit = near(fps[x], fps[y], max_bits)
-            a.append(x[hit])
-            b.append(y[hit])
-    none = [np.empty(0, np.int64)]
-    return np.concatenate(a or none), np.concatenate(b or none)
+        each = max(1, 100_000 // len(i))
+        for s in range(0, len(at := heads[size == n]), each):
+            x, y = (at[s : s + each, None] + i).ravel(), (at[s : s + each, None] + j).ravel()
+            close = np.bitwise_count(plain[x] ^ plain[y]).sum(axis=1, dtype=np.int32) <= max_bits
+            x, y = x[close], y[close]
+            ok = np.bitwise_count(fps[x, :LANES] ^ fps[y, :LANES]).min(axis=1, initial=64) <= RANGE
+            a.append(x[ok])
+            b.append(y[ok])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _unit_links(max_bits: int):
