@@ -148,6 +148,17 @@ def _cell_edges(shared, cosine: float, list_rows: int):
     return run
 
 
+def normal(raw) -> np.ndarray | None:
+    """The vector at unit length, or None if it is none, empty, of length zero or has a component that is null or no sound number."""
+    if raw is None or not len(raw):
+        return None
+    x = np.asarray(raw, np.float64)
+    if not np.isfinite(x).all() or np.abs(x).max() >= 1e150 or np.abs(x).max() <= 1e-150:
+        return None
+    # -0.0 becomes 0.0
+    return (x / np.sqrt((x * x).sum())).astype(np.float32) + np.float32(0)
+
+
 def stacked(v: pd.Series, wide: int) -> np.ndarray:
     """Vectors as rows, with zeros up to ``wide``."""
     x = np.stack(v.to_numpy()).astype(np.float32)
@@ -179,12 +190,13 @@ def split_cells(placed: DataFrame, members: int, cells: int, wide: int, radius:
         sizes = own.groupBy("cell").agg(F.count("*").alias("size"))
         chosen = own.join(F.broadcast(sizes) if cells <= FAN else sizes, "cell").where(order <= F.lit(float((1 << 63) - 1)) * SAMPLE_EACH * fan / F.col("size")).drop("size")
     table = checkpoint(chosen.groupBy("cell").applyInPandas(fitted, "cell long, centres binary"))
-    joined = placed.join(F.broadcast(table) if cells <= FAN else table, "cell", "left")
+    alone = bytes(table.first().centres) if cells == 1 else None
+    joined = placed if cells == 1 else placed.join(F.broadcast(table) if cells <= FAN else table, "cell", "left")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for cell, part in batch.groupby("cell", sort=False):
-                raw = part["centres"].iat[0]
+                raw = alone or part["centres"].iat[0]
                 x, ids, own = stacked(part["v"], wide), part["node"].to_numpy(), part["own"].to_numpy(bool)
                 centres = np.frombuffer(raw, np.float32).reshape(-1, wide) if raw is not None else np.zeros((1, wide), np.float32)
                 for s in range(0, len(part), 1024):
@@ -242,14 +254,17 @@ def near_groups(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_i
     different dimensions aren't compared. Equal vectors, repeated rows included, are one node of the search.
     Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
+    ready_workers(vectors.sparkSession)
     vectors = anchored(vectors)
     v = F.col(named(vector_col)).cast("array<double>")
     rows = stable_rows(vectors, F.col(named(id_col)).alias("vec_id"), v.alias("raw"))
-    sound = "raw is not null and size(raw) > 0 and forall(raw, x -> x is not null and not isnan(x) and abs(x) < 1e150) and exists(raw, x -> abs(x) > 1e-150)"
-    unit = F.expr("transform(raw, x -> float(x / sqrt(aggregate(raw, 0D, (s, y) -> s + y * y))))")
-    # the components of a vector after division may be -0.0 or 0.0, which are one
-    nodes = checkpoint(rows.where(sound).select(FID, ROW, "vec_id", F.transform(unit, lambda x: x + F.lit(0.0).cast("float")).alias("v")))
-    distinct = checkpoint(nodes.select("v").distinct().withColumn("node", F.monotonically_increasing_id()))
+
+    @F.pandas_udf("array<float>")
+    def unit(raw: pd.Series) -> pd.Series:
+        return pd.Series([normal(x) for x in raw], dtype=object)
+
+    nodes = checkpoint(rows.select(FID, ROW, "vec_id", unit("raw").alias("v")).where("v is not null").withColumn("h", F.xxhash64("v")))
+    distinct = checkpoint(nodes.select("h", "v").distinct().withColumn("node", F.monotonically_increasing_id()))
     edges = None
     for (width,) in distinct.select(F.size("v")).distinct().collect():
         found = near_vectors(distinct.where(F.size("v") == width), cosine, list_rows)
@@ -258,8 +273,8 @@ def near_groups(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_i
         edges = vectors.sparkSession.createDataFrame([], "a long, b long")
     roots = connected(edges)
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    named_nodes = checkpoint(distinct.join(roots, "node", "left").select("v", F.coalesce("root", "node").alias("root")))
-    labelled = nodes.join(named_nodes, "v").select(FID, ROW, "vec_id", "root")
+    named_nodes = checkpoint(distinct.join(roots, "node", "left").select("h", "v", F.coalesce("root", "node").alias("root")))
+    labelled = nodes.join(named_nodes, ["h", "v"]).select(FID, ROW, "vec_id", "root")
     sizes = labelled.groupBy("root").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.min(F.struct("vec_id", FID, ROW)).alias("first"))
     marked = labelled.join(sizes.where("copies > 1"), "root").select(FID, ROW, "copies", "least", (F.struct("vec_id", FID, ROW) == F.col("first")).alias("keep"))
     joined = stable_rows(vectors, F.col(named(id_col)).alias("vec_id")).join(marked, [FID, ROW], "left")
