@@ -20,6 +20,8 @@ SLAB_CHARS = 1_000_000
 ARROW_ROWS = 512
 #: A side of a join is broadcast if it is known to have at most so many rows, of a few hundred bytes; beyond, Spark shuffles.
 BROADCAST_ROWS = 50_000
+#: Rows of one key that a task of a join gets, about; more are spread over several.
+HOT_ROWS = 100_000
 #: Names of a row's identity in tables whose other names are chosen here.
 FID, ROW = KEY = ("_loom_file", "_loom_row")
 #: Folders that this process has made.
@@ -89,6 +91,23 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, key: list[str], size: str = "size") -> DataFrame:
+    """``rows`` joined with ``groups``, a row for each key, which says in ``size`` how many rows have it; ``size`` goes.
+
+    Rows are spread by their identity over as many parts as HOT_ROWS of a key need, and the group's row is repeated for each
+    part, so that a key of a third of all rows fills no task. The keys for which there is more than one part are at most a
+    HOT_ROWS-th of all rows, few enough to be broadcast.
+    """
+    groups = checkpoint(groups)
+    hot = groups.where(F.col(size) > HOT_ROWS).select(*key, F.ceil(F.col(size) / HOT_ROWS).cast("int").alias("_parts"))
+    if hot.isEmpty():
+        return rows.join(groups.drop(size), key)
+    hot = F.broadcast(checkpoint(hot))
+    parts = F.coalesce("_parts", F.lit(1))
+    many = groups.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts", size)
+    return rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(FID, ROW), parts).cast("int")).drop("_parts").join(many, [*key, "_part"]).drop("_part")
+
+
 def named(column: str) -> str:
     """The column's name in backticks, whatever characters it has."""
     return "`" + column.replace("`", "``") + "`"

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import FID, ROW, anchored, checkpoint, connected, mix, named, ready_workers, small_side, stable_rows
+from corpusloom.llm.common import FID, ROW, anchored, checkpoint, connected, mix, named, ready_workers, small_side, spread_join, stable_rows
 
 #: Vectors of at least this cosine are near copies.
 COSINE = 0.9
@@ -264,7 +264,7 @@ def near_groups(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_i
         return pd.Series([normal(x) for x in raw], dtype=object)
 
     nodes = checkpoint(rows.select(FID, ROW, "vec_id", unit("raw").alias("v")).where("v is not null").withColumn("h", F.xxhash64("v")))
-    distinct = checkpoint(nodes.select("h", "v").distinct().withColumn("node", F.monotonically_increasing_id()))
+    distinct = checkpoint(nodes.groupBy("h", "v").agg(F.count("*").alias("size")).withColumn("node", F.monotonically_increasing_id()))
     edges = None
     for (width,) in distinct.select(F.size("v")).distinct().collect():
         found = near_vectors(distinct.where(F.size("v") == width), cosine, list_rows)
@@ -273,10 +273,10 @@ def near_groups(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_i
         edges = vectors.sparkSession.createDataFrame([], "a long, b long")
     roots = connected(edges)
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    named_nodes = checkpoint(distinct.join(roots, "node", "left").select("h", "v", F.coalesce("root", "node").alias("root")))
-    labelled = nodes.join(named_nodes, ["h", "v"]).select(FID, ROW, "vec_id", "root")
+    groups = distinct.join(roots, "node", "left").select("h", "v", "size", F.coalesce("root", "node").alias("root"))
+    labelled = spread_join(nodes, groups, ["h", "v"]).select(FID, ROW, "vec_id", "root")
     sizes = labelled.groupBy("root").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.min(F.struct("vec_id", FID, ROW)).alias("first"))
-    marked = labelled.join(sizes.where("copies > 1"), "root").select(FID, ROW, "copies", "least", (F.struct("vec_id", FID, ROW) == F.col("first")).alias("keep"))
+    marked = spread_join(labelled, sizes.where("copies > 1").withColumn("size", F.col("copies")), ["root"]).select(FID, ROW, "copies", "least", (F.struct("vec_id", FID, ROW) == F.col("first")).alias("keep"))
     joined = stable_rows(vectors, F.col(named(id_col)).alias("vec_id")).join(marked, [FID, ROW], "left")
     return joined.select(
         "vec_id",

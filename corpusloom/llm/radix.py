@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import FID, KEY, ROW, anchored, checkpoint, named, spare, stable_rows
+from corpusloom.llm.common import FID, KEY, ROW, anchored, checkpoint, named, spare, spread_join, stable_rows
 
 #: Text bytes that the first level splits on, besides the eight bytes of the length.
 FIRST_BYTES = 56
@@ -19,15 +19,15 @@ def duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The key is the text's length in bytes followed by its bytes, so texts of a group always end together.
     Each level counts (group, next digit), with partial counts before the shuffle, drops what is alone
     and splits the rest by that digit; groups that have ended are equal byte for byte, without a digest.
-    After the first level only rows with a possible copy travel. Counting and joining, rather than a window,
-    lets a text with any number of copies be spread over many tasks.
+    After the first level only rows with a possible copy travel. Rows of a group that is large are spread over
+    tasks when they are joined with its count, so a text may have any number of copies.
     """
     text = F.col(named(text_col)).cast("binary")
     base = stable_rows(docs.where(F.col(named(text_col)).isNotNull()), F.col(named(id_col)).alias("id"), text.alias("bytes"))
     first = F.struct(F.length("bytes").alias("n"), F.substring("bytes", 1, FIRST_BYTES).alias("head"))
     keyed = base.withColumn("grp", first)
-    shared = keyed.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1").select("grp")
-    active = checkpoint(keyed.join(shared.hint("shuffle_hash"), "grp"))
+    shared = keyed.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
+    active = checkpoint(spread_join(keyed, shared, ["grp"]))
     at, width, ended = FIRST_BYTES, FIRST_BYTES, []
     while True:
         over = F.length("bytes") <= at
@@ -37,13 +37,13 @@ def duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
         width = min(width * GROWTH, WIDEST)
         rest = active.where(~over).withColumn("digit", F.substring("bytes", at + 1, width))
-        split = rest.groupBy("grp", "digit").agg(F.count("*").alias("size"), F.min(F.struct(FID, ROW)).alias("next")).where("size > 1").drop("size")
-        active = checkpoint(rest.join(split.hint("shuffle_hash"), ["grp", "digit"]).drop("grp", "digit").withColumnRenamed("next", "grp"))
+        split = rest.groupBy("grp", "digit").agg(F.count("*").alias("size"), F.min(F.struct(FID, ROW)).alias("next")).where("size > 1")
+        active = checkpoint(spread_join(rest, split, ["grp", "digit"]).drop("grp", "digit").withColumnRenamed("next", "grp"))
         at += width
     found = None
     for rows in ended:
         group = rows.groupBy("grp").agg(F.count("*").alias("copies"), F.min("id").alias("group_id"), F.min(F.struct("id", FID, ROW)).alias("first"))
-        level = rows.join(group, "grp").select(FID, ROW, "id", "group_id", "copies", (F.struct("id", FID, ROW) == F.col("first")).alias("keep"))
+        level = spread_join(rows, group.withColumn("size", F.col("copies")), ["grp"]).select(FID, ROW, "id", "group_id", "copies", (F.struct("id", FID, ROW) == F.col("first")).alias("keep"))
         found = level if found is None else found.unionAll(level)
     return found
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import KEY, SLAB_CHARS, anchored, checkpoint, connected, mix, named, small_batches, spare, stable_rows, word_hashes
+from corpusloom.llm.common import KEY, SLAB_CHARS, anchored, checkpoint, connected, mix, named, small_batches, spare, spread_join, stable_rows, word_hashes
 
 #: A fingerprint is LANES weighted SimHashes of 64 bits for the search and PLAIN words of one in which all features weigh alike.
 #: A feature's weight in a lane is the inverse square of a seeded uniform number, so that few features rule a lane, others in each.
@@ -314,13 +314,12 @@ def near_rows(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> Dat
         return pd.Series([fp.tobytes() if fp.any() else None for fp in fps], dtype=object)
 
     rows = checkpoint(stable_rows(docs, F.col(named(id_col)).alias("id"), sketch(F.col(named(text_col))).alias("fp")).where("fp is not null"))
-    nodes = checkpoint(rows.select("fp").distinct().withColumn("node", F.monotonically_increasing_id()))
-    roots = connected(near_edges(nodes, max_bits))
-    roots = checkpoint(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")))
+    nodes = checkpoint(rows.groupBy("fp").agg(F.count("*").alias("size")).withColumn("node", F.monotonically_increasing_id()))
+    roots = connected(near_edges(nodes.select("node", "fp"), max_bits))
     first = F.struct("id", *KEY)
-    labelled = rows.join(roots, "fp").select(*KEY, "id", "root")
+    labelled = spread_join(rows, nodes.join(roots, "node", "left").select("fp", "size", F.coalesce("root", "node").alias("root")), ["fp"]).select(*KEY, "id", "root")
     sizes = labelled.groupBy("root").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min(first).alias("first"))
-    return labelled.join(sizes.where("copies > 1"), "root").select(*KEY, "least", "copies", (first == F.col("first")).alias("keep"))
+    return spread_join(labelled, sizes.where("copies > 1").withColumn("size", F.col("copies")), ["root"]).select(*KEY, "least", "copies", (first == F.col("first")).alias("keep"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
