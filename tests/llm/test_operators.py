@@ -14,7 +14,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, mixing, packing, quantised, queries, radix, secret_scan, sharding, simhash, toxicity, urls
+from corpusloom.llm import common, langid, mixing, packing, quantised, queries, radix, secret_scan, sharding, simhash, toxicity, urls
 from corpusloom.llm.common import connected
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ROW string, shard int, page_id long"
@@ -107,6 +107,20 @@ def test_empty_table(spark):
     assert all(v.count() == 0 for v in runs(spark, docs(spark, [])).values())
 
 
+def test_hot_groups_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 7)
+    rng = random.Random(9)
+    rows = [(k, "one text of many copies, " * (k % 3) if k % 3 else " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(20)), "en", "a") for k in range(120)]
+    d = docs(spark, rows)
+    for found in (radix.exact_groups(d).collect(), simhash.near_groups(d).collect()):
+        assert {r.doc_id: r.copies for r in found if r.doc_id % 3 == 0} == dict.fromkeys(range(0, 120, 3), 1)
+        assert sum(r.keep for r in found) in (41, 42) and len(found) == 120
+    exact = {r.doc_id: (r.group_id, r.copies) for r in radix.exact_groups(d).collect()}
+    assert exact[1] == (1, 40) and exact[2] == (2, 40) and exact[119] == (2, 40)
+    v = d.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 1.0).otherwise(0.0)).alias("embedding"))
+    assert {r.copies for r in quantised.near_groups(v).collect() if r.vec_id % 3} == {80}
+
+
 def test_exact_and_near_copies(spark):
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
