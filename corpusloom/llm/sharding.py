@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import FID, KEY, ROW, anchored, named, ready_workers, scratch, spare, stable_rows
+from corpusloom.llm.common import FID, KEY, ROW, anchored, mix, named, ready_workers, scratch, spare, stable_rows
 
 #: Rows of a source block and of a shard, at most.
 BLOCK_ROWS, SHARD_ROWS = 65_536, 8_192
+#: Columns of the matrix at most: where there are more shards, a column is a run of them, within which places are dealt by a keyed permutation.
+WIDE = 4096
 SEED = 23
 
 
@@ -61,12 +63,12 @@ def split(rng: np.random.Generator, shards: np.ndarray, draws: int) -> np.ndarra
     return out
 
 
-def matrix_row(sizes: np.ndarray, shards: np.ndarray, block: int, seed: int, path: dict[tuple[int, int], np.ndarray] | None = None) -> np.ndarray:
-    """Row ``block`` of the communication matrix. The blocks are halved again and again, each half's share of every
-    shard drawn with a generator of its own, so that any task finds any row alone and always the same. ``path``
-    keeps what was drawn on the way, for a block nearby."""
+def matrix_row(sizes: np.ndarray, shards: np.ndarray, block: int, seed: int, path: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row ``block`` of the communication matrix, and the sum of the rows before it. The blocks are halved again and again,
+    each half's share of every shard drawn with a generator of its own, so that any task finds any row alone and always the
+    same. ``path`` keeps what was drawn on the way, for a block nearby."""
     total = np.r_[0, np.cumsum(sizes)]
-    low, high, free = 0, len(sizes), shards
+    low, high, free, before = 0, len(sizes), shards, np.zeros_like(shards)
     path = {} if path is None else path
     for gone in [k for k in path if not k[0] <= block < k[1]]:
         del path[gone]
@@ -75,10 +77,41 @@ def matrix_row(sizes: np.ndarray, shards: np.ndarray, block: int, seed: int, pat
         child = (low, middle) if block < middle else (middle, high)
         if child not in path:
             left = split(np.random.default_rng([seed, 1, low, high]), free, int(total[middle] - total[low]))
-            path[child] = left if block < middle else free - left
-        free = path[child]
+            path[child] = (left, before) if block < middle else (free - left, before + left)
+        free, before = path[child]
         low, high = child
-    return free
+    return free, before
+
+
+def dealt(at: np.ndarray, key: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A keyed permutation of 0 to size - 1, place by place: four rounds of a Feistel network on the least square of a power of two that
+    holds the size, again and again until the place is within it."""
+    half = np.ceil(np.log2(np.maximum(size, 2)) / 2).astype(np.uint64)
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    out, left = at.astype(np.uint64), np.arange(len(at))
+    while len(left):
+        x, k, h, m = out[left], key[left], half[left], mask[left]
+        a, b = x >> h, x & m
+        for turn in range(4):
+            a, b = b, a ^ (mix(b + mix(k + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))) & m)
+        out[left] = (a << h) | b
+        left = left[out[left] >= size[left].astype(np.uint64)]
+    return out.astype(np.int64)
+
+
+def targets(sizes: np.ndarray, shards: np.ndarray, block: int, seed: int, path: dict | None = None) -> np.ndarray:
+    """The shard of every row of a block: its row of the matrix, permuted. The cost follows the block's rows, and WIDE at most, not the number of shards."""
+    many = -(-len(shards) // WIDE)
+    heads = np.arange(0, len(shards), many)
+    columns = np.add.reduceat(shards, heads)
+    counts, before = matrix_row(sizes, columns, block, seed, path)
+    to = np.repeat(np.arange(len(columns)), counts)
+    if many > 1:
+        place = before[to] + np.arange(len(to)) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = dealt(place, mix(to.astype(np.uint64) + np.uint64(seed * 0xD1B54A32D192ED03 % (1 << 64))), columns[to])
+        ends = np.cumsum(shards)
+        to = np.searchsorted(ends, (ends - shards)[heads][to] + place, side="right")
+    return to[np.random.default_rng([seed, 2, block]).permutation(int(sizes[block]))]
 
 
 def shard_sizes(rows: int, shard_rows: int) -> np.ndarray:
@@ -126,13 +159,12 @@ def sharded(docs: DataFrame, shard_rows: int = SHARD_ROWS, block_rows: int = BLO
             i = index[int(key[0]), int(key[1])]
             if i not in drawn:
                 drawn.clear()
-                to = np.repeat(np.arange(len(shards)), matrix_row(sizes, shards, i, seed, path))
-                drawn[i] = to[np.random.default_rng([seed, 2, i]).permutation(int(sizes[i]))]
+                drawn[i] = targets(sizes, shards, i, seed, path)
             out[at] = drawn[i][row[at] - block[at] * block_rows]
         return pd.Series(out)
 
     drawn: dict[int, np.ndarray] = {}
-    path: dict[tuple[int, int], np.ndarray] = {}
+    path: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     row, shard, order = spare([*KEY, to, place], 3)
     rows = stable_rows(docs, F.struct(*(F.col(named(c)) for c in columns)).alias(row))
     rows = rows.withColumn(shard, target(FID, ROW)).withColumn(order, F.xxhash64(F.lit(seed), FID, ROW))

@@ -4,6 +4,7 @@ import gzip
 import itertools
 import lzma
 import random
+import time
 import urllib.parse
 import zlib
 from collections import Counter
@@ -320,17 +321,35 @@ def test_assigned_query_equals_brute_force(spark):
     assert {(r.doc_id, r.collection): r.copies for r in mixing.assigned(d, weights=weights).collect()} == dict(want)
 
 
-def test_shuffle_is_uniform():
-    """Positions of every row over many seeds, by the matrix and the two permutations as the tasks draw them."""
-    sizes, shards, seen = np.array([3, 2, 4]), sharding.shard_sizes(9, 4), np.zeros((9, 3))
+@pytest.mark.parametrize("wide", [4096, 2])
+def test_shuffle_is_uniform(monkeypatch, wide):
+    """Shards of every row, and of every two rows, over many seeds, as the tasks draw them."""
+    monkeypatch.setattr(sharding, "WIDE", wide)
+    sizes, shards, seen = np.array([3, 2, 4]), sharding.shard_sizes(9, 3), np.zeros((9, 3))
     pairs = np.zeros((9, 9))
-    for seed in range(3000):
-        to = np.concatenate([np.repeat(np.arange(3), sharding.matrix_row(sizes, shards, i, seed))[np.random.default_rng([seed, 2, i]).permutation(n)] for i, n in enumerate(sizes)])
+    for seed in range(4000):
+        to = np.concatenate([sharding.targets(sizes, shards, i, seed) for i in range(3)])
+        assert (np.bincount(to, minlength=3) == shards).all()
         seen[np.arange(9), to] += 1
         pairs += to[:, None] == to
-    assert np.abs(seen / 3000 - shards / 9).max() < 0.05
-    off = pairs[~np.eye(9, dtype=bool)] / 3000
-    assert np.abs(off - (shards * (shards - 1)).sum() / 72).max() < 0.05
+    assert np.abs(seen / 4000 - shards / 9).max() < 0.04
+    off = pairs[~np.eye(9, dtype=bool)] / 4000
+    assert np.abs(off - (shards * (shards - 1)).sum() / 72).max() < 0.04
+
+
+def test_keyed_permutations_and_cost_of_many_shards():
+    for n in (1, 2, 3, 1000, 4097):
+        at, size = np.arange(n), np.full(n, n)
+        orders = {tuple(sharding.dealt(at, np.full(n, k, np.uint64), size).tolist()) for k in range(8)}
+        assert all(sorted(o) == list(range(n)) for o in orders) and (n < 1000 or len(orders) == 8)
+    took = []
+    for many in (40_000, 320_000):
+        shards, sizes = np.full(many, 8), np.full(many * 8 // 65_536 + 1, 65_536)
+        sizes[-1] = many * 8 - sizes[:-1].sum()
+        began = time.thread_time()
+        assert len(sharding.targets(sizes, shards, 1, 5)) == 65_536
+        took.append(time.thread_time() - began)
+    assert took[1] < 4 * took[0] + 0.2
 
 
 SECRET = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
@@ -433,9 +452,9 @@ def test_cells_are_split_by_levels_and_blocks(spark, monkeypatch):
 
 def test_communication_matrix():
     sizes, shards = np.array([5, 0, 7, 3]), sharding.shard_sizes(15, 4)
-    rows = np.stack([sharding.matrix_row(sizes, shards, i, 1) for i in range(4)])
+    rows = np.stack([sharding.matrix_row(sizes, shards, i, 1)[0] for i in range(4)])
     assert (rows.sum(axis=1) == sizes).all() and (rows.sum(axis=0) == shards).all()
-    mean = np.mean([sharding.matrix_row(sizes, shards, 2, s) for s in range(2000)], axis=0)
+    mean = np.mean([sharding.matrix_row(sizes, shards, 2, s)[0] for s in range(2000)], axis=0)
     assert np.abs(mean - 7 * shards / 15).max() < 0.15
     big = [sharding.hypergeometric(np.random.default_rng(s), 3_000_000_000, 1_000_000_000, 10_000) for s in range(300)]
     assert abs(np.mean(big) - 7500) < 12 and 30 < np.std(big) < 57
