@@ -275,7 +275,7 @@ def test_sections_grow_with_their_lines(spark):
 def test_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     at, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "region", "nation", "supplier", "lineitem"):
+    for t in ("documents", "region", "nation", "customer", "supplier", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}/{t}.parquet')")
     mine, other = catalog.QUERIES[name](spark, at).toPandas(), con.execute(catalog.ORACLE_SQL[name]).df()
     columns = sorted(mine.columns)
