@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,10 @@ LANES, PLAIN = 8, 4
 MAX_BITS, RANGE = 64, 1
 #: Segments of a lane, of 4 bits, whose bit counts are its place in the grid.
 SEGMENTS = 16
-#: Nodes of a cell that are compared in one go; larger cells are compared block by block. Rows of a task that compares.
-CELL_ROWS, TASK_ROWS = 4096, 200_000
+#: Nodes of a group that are compared in one go; larger groups are compared block by block. Rows of a task that compares.
+CELL_ROWS, TASK_ROWS = 16_384, 200_000
+#: Values of lanes that a task takes to the grid, each to 13 cells on average.
+VALUE_ROWS = 100_000
 #: Characters whose features are held at a time.
 SLAB = SLAB_CHARS // 4
 _WORDS = LANES + PLAIN
@@ -151,25 +154,25 @@ def counts(lanes: np.ndarray) -> np.ndarray:
     return np.bitwise_count((lanes[:, None] >> (np.arange(SEGMENTS, dtype=np.uint64) * width)) & mask).astype(np.uint64)
 
 
-def cells(lane: int, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, cells and whether the cell is the row's own, for a join of all pairs whose counts have a Manhattan distance of RANGE = 1 at most.
+def cells(lane: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and cells, for a join of all pairs of words of one lane whose counts have a Manhattan distance of RANGE = 1.
 
-    Each row is in the cell of its counts. Counts at a distance of one have sums of different parity, so only rows of an odd
-    sum also go to the neighbouring cells, one segment up or down.
+    Counts at a distance of one have sums of different parity, so rows of an even sum are in the cell of their counts and
+    rows of an odd sum in the neighbouring cells, one segment up or down.
     """
     found = counts(lanes)
     place = np.uint64(3) * np.arange(SEGMENTS, dtype=np.uint64)
     own = (found << place).sum(axis=1, dtype=np.uint64)
-    rows, keys = [np.arange(len(lanes))], [own]
-    odd = np.flatnonzero(found.sum(axis=1) % np.uint64(2))
+    odd = found.sum(axis=1) % np.uint64(2) == 1
+    even, odd = np.flatnonzero(~odd), np.flatnonzero(odd)
+    rows, keys = [even], [own[even]]
     for s in range(SEGMENTS):
         step, c = np.uint64(1) << place[s], found[odd, s]
         for at, to in ((c > 0, own[odd] - step), (c < np.uint64(64 // SEGMENTS), own[odd] + step)):
             rows.append(odd[at])
             keys.append(to[at])
-    mine = np.zeros(sum(map(len, rows)), bool)
-    mine[: len(lanes)] = True
-    return np.concatenate(rows), mix(np.concatenate(keys) ^ _SEEDS[lane]).view(np.int64), mine
+    at = np.concatenate(rows)
+    return at, mix(np.concatenate(keys) ^ _SEEDS[lane[at]]).view(np.int64)
 
 
 def near(x: np.ndarray, y: np.ndarray, max_bits: int) -> np.ndarray:
@@ -193,23 +196,23 @@ def _hits(fps: np.ndarray, plain: np.ndarray, one: np.ndarray, two: np.ndarray,
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(fps: np.ndarray, max_bits: int, abreast: int = 128) -> list[tuple[int, int]]:
-    """Edges that connect rows as all near pairs do.
+def links(fps: np.ndarray, max_bits: int, first: int = 0, abreast: int = 128) -> list[tuple[int, int]]:
+    """Edges that connect rows as all near pairs do; as the near pairs of one of the ``first`` rows and one of the others, if ``first``.
 
     Rows are compared ``abreast``, of one component if there are enough, and then only with rows of others; rows
     that have been compared with all others are done.
     """
     plain = np.ascontiguousarray(fps[:, LANES:].T)
-    group, done, found = np.arange(len(fps)), np.zeros(len(fps), bool), []
-    while not done.all() and (group != group[0]).any():
-        todo = np.flatnonzero(~done)
+    group, found = np.arange(len(fps)), []
+    todo, others = np.arange(first or len(fps)), np.arange(first, len(fps))
+    while len(todo):
         same = todo[group[todo] == group[todo[0]]][:abreast]
         mixed = len(same) < min(abreast, len(todo)) // 4
-        one = todo[:abreast] if mixed else same
-        two = todo if mixed else todo[group[todo] != group[same[0]]]
-        if not len(two):
+        one, against = todo[:abreast] if mixed else same, others if first else todo
+        two = against if mixed else against[group[against] != group[same[0]]]
+        if not len(two) and not first:
             break
-        i, j = _hits(fps, plain, one, two, max_bits)
+        i, j = _hits(fps, plain, one, two, max_bits) if len(two) else (one[:0], one[:0])
         i, j = one[i], two[j]
         apart = group[i] != group[j]
         while apart.any():
@@ -217,15 +220,15 @@ def links(fps: np.ndarray, max_bits: int, abreast: int = 128) -> list[tuple[int,
             i, j = i[apart], j[apart]
             high, low = np.maximum(group[i], group[j]), np.minimum(group[i], group[j])
             order = np.lexsort((low, high))
-            first = order[np.r_[True, high[order][1:] != high[order][:-1]]]
-            found += list(zip(i[first].tolist(), j[first].tolist(), strict=True))
+            top = order[np.r_[True, high[order][1:] != high[order][:-1]]]
+            found += list(zip(i[top].tolist(), j[top].tolist(), strict=True))
             to = np.arange(len(fps))
-            to[high[first]] = low[first]
+            to[high[top]] = low[top]
             while (to[to] != to).any():
                 to = to[to]
             group = to[group]
             apart = group[i] != group[j]
-        done[one] = True
+        todo = todo[len(one) :] if mixed else todo[~np.isin(todo, one)]
     return found
 
 
@@ -252,17 +255,20 @@ def _unit_links(max_bits: int):
         if not parts:
             return
         rows = pd.concat(parts, ignore_index=True)
-        unit = rows[["cell", "one", "two"]].to_numpy(np.int64)
+        unit = rows[["lane", "cell", "one", "two", "block"]].to_numpy(np.int64)
         order = np.lexsort(unit.T[::-1])
         unit, ids = unit[order], rows["node"].to_numpy(np.int64)[order]
         fps = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(-1, _WORDS)[order]
-        heads = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]).any(axis=1)])
+        heads = np.flatnonzero(np.r_[True, (unit[1:, :4] != unit[:-1, :4]).any(axis=1)])
         tails = np.r_[heads[1:], len(unit)]
         big = tails - heads > 32
         i, j = small_links(fps, heads[~big], tails[~big], max_bits)
         pairs = [np.stack([i, j], axis=1)]
         for a, b in zip(heads[big], tails[big], strict=True):
-            pairs.append(np.array(links(fps[a:b], max_bits), np.int64).reshape(-1, 2) + a)
+            # rows of two blocks are compared across only
+            first = int((unit[a:b, 4] == unit[a, 2]).sum()) if unit[a, 2] < unit[a, 3] else 0
+            if first < b - a:
+                pairs.append(np.array(links(fps[a:b], max_bits, first), np.int64).reshape(-1, 2) + a)
         both = np.concatenate(pairs)
         edges = np.unique(np.sort(ids[both], axis=1), axis=0)
         yield pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
@@ -270,34 +276,57 @@ def _unit_links(max_bits: int):
     return run
 
 
+def lane_links(values: DataFrame) -> DataFrame:
+    """``lane, cell, value, size, cell_size``: all pairs of a lane's values (lane byte, value long, size int, all distinct) that differ in RANGE bits.
+
+    The bit counts of such a pair have a Manhattan distance of RANGE, so it meets in a cell of the grid for certain. Only the
+    words themselves travel there. ``cell`` is the value of more nodes, the even one of two alike.
+    """
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batched(batches, 16):
+            lane, value, size = (np.concatenate([batch[c].to_numpy() for batch in some]) for c in ("lane", "value", "size"))
+            at, key = cells(lane, value.view(np.uint64))
+            yield pd.DataFrame({"place": key, "lane": lane[at], "value": value[at], "size": size[at]})
+
+    even, odd = (values.where(F.bit_count("value") % 2 == k).mapInPandas(place, "place long, lane byte, value long, size int") for k in (0, 1))
+    met = even.toDF("place", "lane", "e", "m").hint("shuffle_hash").join(odd.toDF("place", "lane", "o", "n"), ["place", "lane"]).where(F.bit_count(F.col("e").bitwiseXOR(F.col("o"))) == RANGE)
+    larger = F.col("m") >= F.col("n")
+    return met.select("lane", F.when(larger, F.col("e")).otherwise(F.col("o")).alias("cell"), F.when(larger, F.col("o")).otherwise(F.col("e")).alias("value"), F.least("m", "n").alias("size"), F.greatest("m", "n").alias("cell_size"))
+
+
 def near_edges(nodes: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``a, b``: edges that connect the nodes (node long, fp binary, all distinct) as all near pairs do.
 
-    Lanes of a near pair that differ in RANGE bits at most have bit counts within that Manhattan distance, so the pair meets
-    in a cell of the grid for certain; there it is verified. Only cells that two nodes reach are looked at, and only then
-    does the fingerprint travel. A cell of many nodes is split into blocks, and every two blocks meet in a task.
+    Nodes of a near pair have a lane's value in common, or values that differ in RANGE bits. So a value's nodes are compared
+    with each other once, and with the nodes of each linked value that has no more of them, which are its guests; only what
+    has someone to meet travels with its fingerprint. A group of many nodes is split into blocks, and every two blocks meet
+    in a task.
     """
     spark = nodes.sparkSession
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.frombuffer(b"".join(batch["fp"]), np.uint64).reshape(-1, _WORDS)
             ids = batch["node"].to_numpy(np.int64)
             for lane in range(LANES):
-                at, key, own = cells(lane, fps[:, lane])
-                yield pd.DataFrame({"cell": key, "node": ids[at], "own": own})
-
-    placed = nodes.mapInPandas(place, "cell long, node long, own boolean")
-    shared = placed.groupBy("cell").agg(F.count("*").alias("size"), F.max("own").alias("met")).where("size > 1 AND met").select("cell", "size")
-    members = checkpoint(placed.select("cell", "node").join(shared, "cell"))
-    blocks = F.ceil(F.col("size") / cell_rows).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = dealt.select("cell", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = met.select("cell", "node", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    many = members.agg(F.sum(blocks)).first()[0] or 0
+                yield pd.DataFrame({"lane": np.full(len(ids), lane, np.int8), "value": fps[:, lane].view(np.int64), "node": ids})
+
+    placed = nodes.mapInPandas(split, "lane byte, value long, node long")
+    tasks = max(-(-nodes.count() * LANES // VALUE_ROWS), spark.sparkContext.defaultParallelism)
+    values = checkpoint(placed.repartition(tasks, "lane", "value").groupBy("lane", "value").agg(F.count("*").cast("int").alias("size")))
+    linked = checkpoint(lane_links(values))
+    hosts = values.where("size > 1").union(linked.where("cell_size = 1").select("lane", "cell", "cell_size").distinct())
+    meeting = hosts.select("lane", F.col("value").alias("cell"), "value", "size").union(linked.select("lane", "cell", "value", "size"))
+    totals = checkpoint(meeting.groupBy("lane", "cell").agg(F.ceil(F.sum("size") / cell_rows).cast("int").alias("blocks"), F.sum("size").alias("total")))
+    many = totals.agg(F.sum(F.col("total") * F.col("blocks"))).first()[0] or 0
     if not many:
         return spark.createDataFrame([], "a long, b long")
-    parts = units.join(nodes, "node").repartition(max(1, -(-int(many) // TASK_ROWS), spark.sparkContext.defaultParallelism), "cell", "one", "two")
+    members = placed.join(meeting.join(totals, ["lane", "cell"]).select("lane", "value", "cell", "blocks"), ["lane", "value"]).select("lane", "cell", "blocks", "node")
+    dealt = members.join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.select("lane", "cell", "node", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = met.select("lane", "cell", "node", "fp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    parts = units.repartition(max(1, -(-int(many) // TASK_ROWS), spark.sparkContext.defaultParallelism), "lane", "cell", "one", "two")
     return parts.mapInPandas(_unit_links(max_bits), "a long, b long")
 
 

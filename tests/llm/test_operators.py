@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -199,6 +200,36 @@ def test_pairs_within_range_meet_in_a_cell(spark, cell_rows):
     assert {k: v for k, v in enumerate(want) if v != k} == root
 
 
+def test_a_lane_that_many_share_travels_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    fps = rng.integers(0, 1 << 63, (432, simhash.LANES + simhash.PLAIN), dtype=np.uint64)
+    hot = np.uint64(1)  # of an odd sum
+    fps[:400, 5] = hot
+    fps[400:416, 5] = hot ^ (np.uint64(2) << (np.uint64(4) * np.arange(16, dtype=np.uint64)))  # linked
+    fps[416:, 5] = fps[400:416, 5] ^ np.array([15, *[3] * 15], np.uint64)  # in the same cells, not linked with the many
+
+    def counted(max_bits):
+        def run(batches):
+            yield pd.DataFrame({"a": [sum(map(len, batches))], "b": [0]})
+
+        return run
+
+    monkeypatch.setattr(simhash, "_unit_links", counted)
+    nodes = spark.createDataFrame([(i, f.tobytes()) for i, f in enumerate(fps)], "node long, fp binary")
+    assert sum(r.a for r in simhash.near_edges(nodes).collect()) == 416
+
+
+def test_links_across_equal_brute_force():
+    rng = np.random.default_rng(13)
+    fps = rng.integers(0, 1 << 63, (40, simhash.LANES + simhash.PLAIN), dtype=np.uint64)[rng.integers(0, 40, 700)]
+    fps[:, simhash.LANES] ^= rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    fps[:, simhash.LANES + 1] ^= rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    for first in (0, 1, 300, 699):
+        some = [(i, int(j)) for i in range(first or 700) for j in np.flatnonzero(simhash.near(fps[i], fps, simhash.MAX_BITS)) if j >= first and i != j]
+        found = simhash.links(fps, simhash.MAX_BITS, first)
+        assert _grouped(700, found) == _grouped(700, some) and len(found) < 700 and {(min(p), max(p)) for p in found} <= {(min(p), max(p)) for p in some}
+
+
 def test_fingerprints_of_long_texts_are_of_the_whole(monkeypatch):
     rng = random.Random(3)
     text = " ".join("".join(rng.choices("abcde-_", k=5)) for _ in range(9000))
