@@ -1,4 +1,4 @@
-"""The section tree of each document, found within its row: no shuffle, one native fold over numbered lines only."""
+"""The section tree of each document, found within its row: no shuffle, one pass in Python over numbered lines only."""
 
 # Computed arrays are exploded with posexplode_outer and a test for null: without outer, the optimiser infers a
 # filter on the array's size and pushes it below, where it repeats the whole computation many times over.
@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import passes
 
-_HEADS = "array<struct<i:int,number:string,title:string,level:int,parent:int,stacked:boolean,same:string,upto:int>>"
-_STACK = "array<struct<number:string,level:int,at:int>>"
 #: Lines after a caption among which the fence of its table is looked for: up to one non-blank line more than this.
 CAPTION_LINES = 3
 
@@ -26,7 +25,7 @@ def with_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def classified(verb: Callable[[Column], Column] = T.contains_verb) -> Column:
-    """The lines with ``kind`` and ``number`` as far as they follow from the line alone; "simple" needs the fold."""
+    """The lines with ``kind`` and ``number`` as far as they follow from the line alone; "simple" needs the pass over all of them."""
 
     def one(x: Column) -> Column:
         line = x["line"]
@@ -70,74 +69,29 @@ def settled(df: DataFrame, **columns: Column | str) -> DataFrame:
     return df.select(F.inline_outer(F.array(F.struct(*(F.col(c) for c in df.columns if c not in columns), *more))))
 
 
-def _fold() -> str:
-    """SQL of the fold over ``events`` (i, kind, number, dotted, line, caption and fence of a table, upto)."""
-    n = "try_cast(e.number AS decimal(38,0))"
-    top = "element_at(s.stack, -1)"
-
-    def state(**new: str) -> str:
-        names = ("first1", "listing", "last_flat", "upper", "busy", "stack", "heads")
-        kinds = {"last_flat": "decimal(38,0)", "upper": "boolean", "busy": "int", "stack": _STACK, "heads": _HEADS}
-        return "named_struct(" + ", ".join(f"'{k}', cast({new.get(k, f's.{k}')} AS {kinds.get(k, 'boolean')})" for k in names) + ")"
-
-    def head(number: str, title: str, level: str, parent: str, stacked: str, same: str) -> str:
-        return f"named_struct('i', e.i, 'number', {number}, 'title', {title}, 'level', cast({level} AS int), 'parent', cast({parent} AS int), 'stacked', {stacked}, 'same', {same}, 'upto', e.upto)"
-
-    # upper is whether "1." has opened the numbering: the highest number seen at that place never changes afterwards
-    listed = f"(NOT (s.first1 AND {n} = 1)) AND (s.listing OR ({n} > s.last_flat) IS TRUE OR NOT s.upper OR {n} = 1)"
-    is_list = f"(e.kind = 'simple' AND ({listed} OR {n} IS NULL))"
-    number = "CASE WHEN e.kind = 'simple' THEN regexp_replace(e.number, '^0+(?=.)', '') ELSE e.number END"
-    synthetic = "concat(t.number, '.', 1 + size(filter(s.heads, h -> h.same = t.number)))"
-    flags = {
-        "first1": f"s.first1 AND NOT (e.kind = 'simple' AND {n} = 1)",
-        "upper": f"s.upper OR (e.kind = 'simple' AND s.first1 AND {n} = 1)",
-        "listing": "CASE WHEN e.kind = 'simple' OR e.dotted THEN false ELSE s.listing END",
-    }
-    child = head("m", "e.title", "t.level + 1", "t.at", "true", "t.number")
-    repeated = f"element_at(transform(array({top}), t -> element_at(transform(array({synthetic}), m -> " + state(**flags, stack="concat(s.stack, array(named_struct('number', m, 'level', t.level + 1, 'at', size(s.heads))))", heads=f"concat(s.heads, array({child}))") + "), 1)), 1)"
-    level = "length(m) - length(replace(m, '.', '')) + 1"
-    # levels rise along the stack, so this is what popping leaves
-    left = f"filter(s.stack, t -> t.level < {level})"
-    regular = f"element_at(transform(array({number}), m -> element_at(transform(array({left}), rest -> " + state(
-        **flags,
-        stack=f"concat(rest, array(named_struct('number', m, 'level', cast({level} AS int), 'at', size(s.heads))))",
-        heads="concat(s.heads, array(" + head("m", "e.title", level, "CASE WHEN size(rest) > 0 THEN element_at(rest, -1).at END", "true", "cast(null AS string)") + "))",
-    ) + "), 1)), 1)"
-    table = head(f"concat({top}.number, '.T', e.caption)", "concat_ws(' — ', e.line, e.name)", f"{top}.level + 1", f"{top}.at", "false", "cast(null AS string)")
-    skipped = "s.busy > e.i"
-    as_table = "e.caption IS NOT NULL AND e.upto IS NOT NULL AND size(s.stack) > 0"
-    return f"""CASE WHEN {skipped} THEN s
-        WHEN {as_table} THEN {state(heads=f"concat(s.heads, array({table}))", busy="e.upto + 1")}
-        WHEN e.kind NOT IN ('simple', 'multi_level') THEN s
-        WHEN {is_list} THEN {state(listing="true", last_flat=n)}
-        WHEN size(s.stack) > 0 AND {top}.number = {number} THEN {repeated}
-        ELSE {regular} END"""
-
-
-def section_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verb: Callable[[Column], Column] = T.contains_verb, kept: Column | None = None) -> DataFrame:
-    """A row per document: ``doc_id, kept, ls`` (its classified lines), ``cut``, ``heads`` of its sections, ``start`` (the first section's line), ``zero_at`` (the preamble's) and ``owners`` (the section of each line)."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, kept: Column | None = None) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.lit(None).cast("string") if kept is None else kept).alias("kept"), F.col(text_col).alias("text"))
-    rows = settled(with_lines(rows).drop("text"), ls=classified(verb)).drop("lines")
-    # lines before the cut are the preamble: it ends at the last number before the first line with a verb, else at the first number
-    rows = settled(rows, marks=F.expr("filter(transform(ls, (x, i) -> CASE WHEN x.numbered THEN i END), i -> i IS NOT NULL)"), spoken=F.expr("array_min(filter(transform(ls, (x, i) -> CASE WHEN x.verb THEN i END), i -> i IS NOT NULL))"), fences=F.expr("filter(transform(ls, (x, i) -> CASE WHEN startswith(x.line, '```') THEN i END), i -> i IS NOT NULL)"))
-    rows = settled(rows, cut="CASE WHEN spoken IS NOT NULL THEN coalesce(array_max(filter(marks, i -> i < spoken)), 0) ELSE coalesce(get(marks, 0), 0) END")
-    # the fence of a caption's table: index of its opening line, then of its closing one
-    opened = f"array_min(filter(transform(slice(ls, i + 2, {CAPTION_LINES + 1}), (y, k) -> CASE WHEN startswith(y.line, '```json') THEN i + 1 + k END), k -> k IS NOT NULL))"
-    shut = "array_min(filter(fences, k -> k > o))"
-    event = f"""element_at(transform(array({opened}), o -> named_struct('i', i, 'kind', CASE WHEN i < cut THEN 'paragraph' ELSE x.kind END, 'number', x.number, 'dotted', x.dotted, 'line', x.line,
-        'caption', x.caption, 'title', regexp_replace(regexp_replace(x.line, '(?U)^\\\\s*\\\\d+(?:\\\\.\\\\d+)*\\\\.?\\\\s*', ''), '(?U)^\\\\s+|\\\\s+$', ''),
-        'name', CASE WHEN x.caption IS NOT NULL AND o IS NOT NULL THEN try_element_at(filter(slice(ls, i + 2, o - i), y -> NOT startswith(y.line, '```')), 1).line END,
-        'upto', CASE WHEN x.caption IS NOT NULL AND o IS NOT NULL THEN {shut} END)), 1)"""
-    rows = settled(rows, events=f"filter(transform(ls, (x, i) -> CASE WHEN x.caption IS NOT NULL OR x.kind IN ('simple', 'multi_level') THEN {event} END), e -> e IS NOT NULL)")
-    begin = f"named_struct('first1', true, 'listing', false, 'last_flat', cast(null AS decimal(38,0)), 'upper', false, 'busy', 0, 'stack', cast(array() AS {_STACK}), 'heads', cast(array() AS {_HEADS}))"
-    rows = settled(rows.select("doc_id", "kept", "ls", "cut", "events"), heads=f"aggregate(events, {begin}, (s, e) -> {_fold()}, s -> s.heads)")
-    rows = settled(rows.drop("events"), start="coalesce(get(heads, 0).i, size(ls))")
-    # preamble: lines before the cut, then paragraphs before the first section; a list ahead of both has no section
-    rows = settled(rows, zero_at="array_min(filter(transform(slice(ls, 1, start), (x, i) -> CASE WHEN i < cut OR x.kind = 'paragraph' THEN i END), i -> i IS NOT NULL))")
-    # a line belongs to the table around it, else to the section opened last
-    until = "coalesce(get(heads, k + 1).i, size(ls))"
-    owners = f"flatten(transform(heads, (h, k) -> CASE WHEN h.stacked THEN array_repeat(k, {until} - h.i) ELSE concat(array_repeat(k, h.upto - h.i + 1), array_repeat(h.parent, {until} - h.upto - 1)) END))"
-    return settled(rows, owners=f"concat(transform(slice(ls, 1, start), (x, i) -> CASE WHEN i >= zero_at THEN 0 ELSE -1 END), transform({owners}, k -> k + CASE WHEN zero_at IS NULL THEN 0 ELSE 1 END))")
+    return with_lines(rows).drop("text")
+
+
+def _told(lines: Column) -> Column:
+    """What the parser is told of classified lines; numbers of sections without leading zeros."""
+
+    def one(x: Column) -> Column:
+        simple = x["kind"] == "simple"
+        number = F.when(simple, F.regexp_replace(x["number"], "^0+(?=.)", "")).otherwise(x["number"])
+        value = F.when(simple, x["number"].try_cast("decimal(38,0)").cast("string"))
+        title = F.when(x["kind"].isin("simple", "multi_level"), F.regexp_replace(F.regexp_replace(x["line"], r"(?U)^\s*\d+(?:\.\d+)*\.?\s*", ""), r"(?U)^\s+|\s+$", ""))
+        raw = lambda c: c.cast("binary")
+        return F.struct(raw(x["line"]).alias("line"), raw(x["raw"]).alias("raw"), raw(x["kind"]).alias("kind"), raw(number).alias("number"), raw(value).alias("n"), raw(title).alias("title"), x["dotted"].alias("dotted"), x["numbered"].alias("numbered"), x["verb"].alias("verb"), raw(x["caption"]).alias("caption"))
+
+    return F.transform(lines, one)
+
+
+def _owned(docs: DataFrame, id_col: str, text_col: str, verb: Callable[[Column], Column]) -> DataFrame:
+    """``doc_id, ls`` (its classified lines) and ``own`` (owner and early of each)."""
+    rows = settled(_rows(docs, id_col, text_col), ls=classified(verb)).select("doc_id", "ls")
+    return settled(rows, told=_told(F.col("ls"))).select("doc_id", "ls", passes.owners(F.col("told"), CAPTION_LINES).alias("own"))
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verb: Callable[[Column], Column] = T.contains_verb) -> DataFrame:
@@ -146,62 +100,35 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ve
     A table's own lines belong to it, also what stands between its caption and fence, which is not in its content; the lines
     after it to the section that is open.
     """
-    rows = section_rows(docs, id_col, text_col, verb)
-    each = rows.select("doc_id", "cut", F.posexplode_outer(F.arrays_zip("ls", "owners")).alias("line_idx", "z")).where("line_idx is not null")
-    kind = F.when(F.col("line_idx") < F.col("cut"), F.lit("preamble")).otherwise(F.col("z.ls.kind"))
-    return each.select("doc_id", "line_idx", F.col("z.ls.line").alias("line"), kind.alias("kind"), F.col("z.ls.number").alias("number"), F.col("z.owners").alias("owner"))
+    rows = _owned(docs, id_col, text_col, verb)
+    each = rows.select("doc_id", F.posexplode_outer(F.arrays_zip("ls", "own")).alias("line_idx", "z")).where("line_idx is not null")
+    kind = F.when(F.col("z.own.early"), F.lit("preamble")).otherwise(F.col("z.ls.kind"))
+    return each.select("doc_id", "line_idx", F.col("z.ls.line").alias("line"), kind.alias("kind"), F.col("z.ls.number").alias("number"), F.col("z.own.owner").alias("owner"))
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verb: Callable[[Column], Column] = T.contains_verb, kept: Column | None = None) -> DataFrame:
     """``doc_id, section_idx, number, title, level, parent_idx, parent_number, children, tables, content, para_first, para_last``, and ``kept`` if given.
 
-    All of it is worked out inside the document's row, in about the time that its lines need to be sorted. Lines keep their
+    All of it is worked out inside the document's row, in time and memory in proportion to its lines. Lines keep their
     order; ``para_first`` and ``para_last`` are the first and last line of the document that equals any line of the section.
     ``kept`` is a column that the document's sections carry along. A null or blank text has no section. Repeated rows give
     repeated sections.
     """
-    rows = section_rows(docs, id_col, text_col, verb, kept)
-    zero = "named_struct('i', zero_at, 'number', '0', 'title', CASE WHEN length(ls[zero_at].line) > 50 THEN concat(left(ls[zero_at].line, 50), '...') ELSE ls[zero_at].line END, 'level', 0, 'parent', cast(null AS int), 'stacked', false, 'same', cast(null AS string), 'upto', start - 1)"
-    moved = "transform(heads, h -> named_struct('i', h.i, 'number', h.number, 'title', h.title, 'level', h.level, 'parent', h.parent + 1, 'stacked', h.stacked, 'same', h.same, 'upto', h.upto))"
-    rows = settled(rows, all=f"CASE WHEN zero_at IS NULL THEN cast(heads AS {_HEADS}) ELSE concat(cast(array({zero}) AS {_HEADS}), cast({moved} AS {_HEADS})) END").drop("heads")
-    # sorted with an entry of its own ahead, the children of a section, its lines, and equal lines are runs
-    rows = settled(
-        rows,
-        kids="array_sort(concat(transform(all, (h, k) -> named_struct('p', k, 'c', -1, 'number', '', 'tab', false)), filter(transform(all, (h, k) -> named_struct('p', h.parent, 'c', k, 'number', h.number, 'tab', NOT h.stacked)), e -> e.p IS NOT NULL)))",
-        owned="array_sort(concat(transform(all, (h, k) -> named_struct('o', k, 'i', -1, 'line', '', 'raw', '')), transform(ls, (x, i) -> named_struct('o', owners[i], 'i', i, 'line', x.line, 'raw', x.raw))))",
-        equal="array_sort(transform(ls, (x, i) -> named_struct('line', x.line, 'i', i)))",
-    ).drop("owners")
-    rows = settled(
-        rows,
-        kid_at="filter(transform(kids, (e, j) -> CASE WHEN e.c < 0 THEN j END), j -> j IS NOT NULL)",
-        own_at="filter(transform(owned, (e, j) -> CASE WHEN e.i < 0 THEN j END), j -> j IS NOT NULL)",
-        equal_at="filter(transform(equal, (e, j) -> CASE WHEN j = 0 OR e.line <> equal[j - 1].line THEN j END), j -> j IS NOT NULL)",
-    )
-    tail = "coalesce(get(equal_at, r + 1), size(equal))"
-    spread = f"array_sort(flatten(transform(equal_at, (a, r) -> transform(slice(equal, a + 1, {tail} - a), m -> named_struct('i', m.i, 'lo', equal[a].i, 'hi', equal[{tail} - 1].i)))))"
-    rows = settled(rows, spread=spread, texts="transform(ls, x -> x.line)").drop("equal", "equal_at")
-    mine = "slice(kids, kid_at[k] + 2, coalesce(get(kid_at, k + 1), size(kids)) - kid_at[k] - 1)"
-    own = "slice(owned, own_at[k] + 2, coalesce(get(own_at, k + 1), size(owned)) - own_at[k] - 1)"
-    heading = "concat(h.number, '. ', h.title)"
-    # of a table: its line, the first line of its own if the fence doesn't follow at once, and the fence
-    fence = "coalesce(array_min(filter(transform(own, (y, j) -> CASE WHEN j > 0 AND startswith(y.line, '```json') THEN j END), j -> j IS NOT NULL)), size(own))"
-    shown = f"element_at(transform(array({fence}), o -> filter(own, (y, j) -> j = 0 OR j >= o OR (o > 1 AND j = array_min(filter(transform(own, (z, n) -> CASE WHEN n > 0 AND NOT startswith(z.line, '```') THEN n END), n -> n IS NOT NULL))))), 1)"
-    inner = f"CASE WHEN h.stacked THEN filter(own, y -> y.i > h.i) WHEN h.level = 0 THEN own ELSE {shown} END"
-    content = f"array_join(CASE WHEN h.stacked THEN concat(array({heading}), transform(part, y -> y.line)) WHEN h.level = 0 THEN transform(part, y -> y.line) ELSE transform(part, y -> y.raw) END, '\\n')"
-    # a heading is rendered without what followed its number in the text, and may then equal another line or none
-    said = "(CASE WHEN h.stacked THEN array(CASE WHEN told = ls[h.i].line THEN h.i + 1 ELSE array_position(texts, told) END) ELSE array() END)"
-    at = f"transform(filter(concat(cast({said} AS array<int>), transform(part, y -> y.i + 1)), i -> i > 0), i -> spread[i - 1])"
-    told = f"regexp_replace({heading}, '(?U)^\\\\s+|\\\\s+$', '')"
-    one = f"""element_at(transform(array({own}), own -> element_at(transform(array({inner}), part -> element_at(transform(array({told}), told -> element_at(transform(array({at}), at -> element_at(transform(array({mine}), mine -> named_struct(
-        'number', h.number, 'title', h.title, 'level', h.level, 'parent_idx', h.parent, 'parent_number', get(all, h.parent).number, 'children', transform(mine, e -> e.number), 'tables', transform(filter(mine, e -> e.tab), e -> e.number),
-        'content', {content}, 'para_first', array_min(transform(at, a -> a.lo)), 'para_last', array_max(transform(at, a -> a.hi)))), 1)), 1)), 1)), 1)), 1)"""
-    each = rows.select("doc_id", "kept", F.posexplode_outer(F.expr(f"transform(all, (h, k) -> {one})")).alias("section_idx", "s")).where("section_idx is not null")
-    return each.select("doc_id", "section_idx", "s.*", *([] if kept is None else ["kept"]))
+    rows = settled(_rows(docs, id_col, text_col, kept), told=_told(classified(verb))).drop("lines")
+    rows = rows.select("doc_id", "kept", passes.sections(F.col("told"), CAPTION_LINES).alias("all"))
+    each = rows.select("doc_id", "kept", F.posexplode_outer("all").alias("section_idx", "s")).where("section_idx is not null")
+    text = lambda c: F.col(f"s.{c}").cast("string").alias(c)
+    listed = lambda c: F.col(f"s.{c}").cast("array<string>").alias(c)
+    title = F.when(F.col("s.level") == 0, T.short_title(F.col("s.title").cast("string"))).otherwise(F.col("s.title").cast("string"))
+    return each.select(
+        "doc_id", "section_idx", text("number"), title.alias("title"), "s.level", "s.parent_idx", text("parent_number"), listed("children"), listed("tables"), text("content"), "s.para_first", "s.para_last",
+        *([] if kept is None else ["kept"]),
+    )
 
 
 def flat_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, list_idx, list_type, items``: list lines before any section, in runs of one type."""
-    rows = settled(section_rows(docs, id_col, text_col), free="transform(filter(ls, (x, i) -> owners[i] = -1), x -> named_struct('kind', x.kind, 'line', x.line))").select("doc_id", "free")
+    rows = settled(_owned(docs, id_col, text_col, T.contains_verb), free="transform(filter(ls, (x, i) -> own[i].owner = -1), x -> named_struct('kind', x.kind, 'line', x.line))").select("doc_id", "free")
     rows = settled(rows, runs="filter(transform(free, (x, i) -> CASE WHEN i = 0 OR free[i - 1].kind <> x.kind THEN i END), i -> i IS NOT NULL)")
     items = "transform(slice(free, a + 1, coalesce(get(runs, k + 1), size(free)) - a), x -> x.line)"
     lists = f"transform(runs, (a, k) -> named_struct('list_type', CASE WHEN free[a].kind = 'simple' THEN 'flat_list' ELSE free[a].kind END, 'items', {items}))"

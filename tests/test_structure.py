@@ -282,3 +282,30 @@ def test_oracle(spark, name):
     assert columns == sorted(other.columns)
     rows = lambda x: sorted(map(repr, x[columns].astype(object).where(x[columns].notna(), None).values.tolist()))
     assert rows(mine) == rows(other)
+
+
+def _growth(frame, few, many):
+    """Seconds for ``few`` and for ``many``, once the code is compiled."""
+    def took(n):
+        began = time.time()
+        frame(n).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    took(50)
+    return took(few), took(many)
+
+
+def test_sections_of_a_very_long_document(spark):
+    few, many = _growth(lambda n: H.sections(docs(spark, "1. Top\n" + "\n".join(f"1.{k + 1}. Head {k}\nbody of {k}" for k in range(n)))), 2000, 16000)
+    assert many < 12 * few + 3
+
+
+def test_headings_that_are_no_lines(spark):
+    d = docs(spark, "1.1. A\n1.1. B\n1.1. C\n1.1. D\n1.1.1. B\n1.1. A\n1.1.")
+    found = [(r.number, r.para_first, r.para_last) for r in H.sections(d).orderBy("section_idx").collect()]
+    assert found == [("1.1", 0, 5), ("1.1.1", 4, 4), ("1.1", 2, 2), ("1.1.2", None, None), ("1.1.1", 4, 4), ("1.1", 0, 5), ("1.1.3", None, None)]
+
+
+def test_lines_that_are_not_utf8(spark):
+    d = docs(spark, "x").select("doc_id", F.expr("cast(concat(cast('1. A\n' AS binary), X'FF41', cast('\n2. B' AS binary)) AS string)").alias("text"))
+    assert [r.c for r in H.sections(d).orderBy("section_idx").select(F.hex("content").alias("c")).collect()] == [("1. A\n\ufffdA").encode().hex().upper(), b"2. B".hex().upper()]
