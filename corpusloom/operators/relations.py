@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators.hierarchy import settled
 
+#: Members of a family that share a copy of its numbers.
+FAMILY_PART = 256
+
 
 def _matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """A join on columns of one name, in which nulls are equal; the right side's other columns have names of their own."""
@@ -20,12 +23,20 @@ def _matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "left"
 
 def section_context(sections: DataFrame) -> DataFrame:
     """``doc_id, section_idx, number, parent_number, parent_title, children, siblings``: a section among its relatives; a root has no siblings."""
-    family = "collect_list(struct(section_idx, number)) OVER (PARTITION BY doc_id, parent_idx ORDER BY section_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-    rows = sections.where("parent_idx IS NOT NULL").select("doc_id", "section_idx", F.expr(family).alias("family"))
-    parents = sections.select("doc_id", F.col("section_idx").alias("parent_idx"), F.col("title").alias("parent_title"))
-    own = _matched(sections.select("doc_id", "section_idx", "number", "parent_idx", "parent_number", "children"), rows, ["doc_id", "section_idx"])
-    siblings = F.expr("coalesce(transform(filter(family, o -> o.number <> number), o -> o.number), cast(array() AS array<string>))")
-    return _matched(own, parents, ["doc_id", "parent_idx"]).select("doc_id", "section_idx", "number", "parent_number", "parent_title", "children", siblings.alias("siblings"))
+    # a family is gathered once and travels a few times, not with each member: only what is written grows with its square
+    told = F.struct("section_idx", "number", "parent_number", "children")
+    families = sections.where("parent_idx IS NOT NULL").groupBy("doc_id", "parent_idx").agg(F.array_sort(F.collect_list(told)).alias("family"))
+    parents = sections.where(F.size("children") > 0).select("doc_id", F.col("section_idx").alias("parent_idx"), F.col("title").alias("parent_title"))
+    rows = _matched(families.hint("merge"), parents, ["doc_id", "parent_idx"])
+    parts = rows.select("doc_id", "parent_title", F.expr("transform(family, o -> o.number)").alias("numbers"), F.posexplode(F.expr(f"transform(sequence(0, (size(family) - 1) div {FAMILY_PART}), p -> slice(family, p * {FAMILY_PART} + 1, {FAMILY_PART}))")).alias("part", "members"))
+    # a number of partitions that stays: by bytes, all of them would be one task's
+    many = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = parts.repartition(many, "doc_id", "parent_title", "part", F.expr("members[0].number")).select("doc_id", "parent_title", "numbers", F.inline("members"))
+    siblings = F.expr("array_remove(numbers, number)")
+    members = each.select("doc_id", "section_idx", "number", "parent_number", "parent_title", "children", siblings.alias("siblings"))
+    none = F.lit(None).cast("string")
+    roots = sections.where("parent_idx IS NULL").select("doc_id", "section_idx", "number", "parent_number", none.alias("parent_title"), "children", F.array().cast("array<string>").alias("siblings"))
+    return roots.unionByName(members)
 
 
 def context_of(sections: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -295,6 +295,16 @@ def _growth(frame, few, many):
     return took(few), took(many)
 
 
+def _flat(spark, n, text="Head {}"):
+    """Rows of ``sections``: one document, a root and ``n`` leaves below it."""
+    leaf = F.concat(F.lit(text.split("{")[0]), F.col("id").cast("string"))
+    rows = spark.range(n + 1).select(
+        F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("section_idx"), F.when(F.col("id") == 0, "1").otherwise(F.concat(F.lit("1."), F.col("id").cast("string"))).alias("number"), leaf.alias("title"), F.when(F.col("id") == 0, 1).otherwise(2).alias("level"),
+        F.when(F.col("id") > 0, 0).alias("parent_idx"), F.when(F.col("id") > 0, "1").alias("parent_number"), F.when(F.col("id") == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("children"), leaf.alias("content"), F.lit(0).alias("para_first"), F.lit(n).alias("para_last"),
+    )
+    return rows
+
+
 def test_sections_of_a_very_long_document(spark):
     few, many = _growth(lambda n: H.sections(docs(spark, "1. Top\n" + "\n".join(f"1.{k + 1}. Head {k}\nbody of {k}" for k in range(n)))), 2000, 16000)
     assert many < 12 * few + 3
@@ -309,3 +319,12 @@ def test_headings_that_are_no_lines(spark):
 def test_lines_that_are_not_utf8(spark):
     d = docs(spark, "x").select("doc_id", F.expr("cast(concat(cast('1. A\n' AS binary), X'FF41', cast('\n2. B' AS binary)) AS string)").alias("text"))
     assert [r.c for r in H.sections(d).orderBy("section_idx").select(F.hex("content").alias("c")).collect()] == [("1. A\n\ufffdA").encode().hex().upper(), b"2. B".hex().upper()]
+
+
+def test_context_of_many_siblings(spark):
+    found = relations.section_context(_flat(spark, 600)).collect()
+    numbers = [f"1.{k}" for k in range(1, 601)]
+    assert {(r.section_idx, r.parent_title) for r in found} == {(0, None), *((k, "Head 0") for k in range(1, 601))}
+    assert all(r.siblings == [n for n in numbers if n != r.number] for r in found if r.section_idx) and len(found) == 601
+    plan = catalog.section_context(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # which would give each member a copy of its family
