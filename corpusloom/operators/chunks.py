@@ -35,22 +35,23 @@ def chunks(sections: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataF
     body = settled(body, els=F.when(fenced, F.array("body")).otherwise(lines))
     body = settled(body, sizes=F.transform("els", F.length))
     fits = F.length("body") <= most
-    body = settled(body, ranges=F.when(~fits, greedy.ranges("sizes", most, overlap)))
+    body = body.withColumn("ranges", greedy.ranges(f"CASE WHEN length(body) > {most} THEN sizes END", most, overlap))
     whole = F.array(F.struct(F.col("body").alias("content"), F.lit(0).alias("start_pos"), F.length("body").alias("end_pos"), F.lit(0).alias("first"), F.lit(0).alias("last")))
     body = settled(
         body.withColumn("is_complete_section", fits),
         parts=F.when(fits, whole).otherwise(greedy.pieces("els", "ranges")), word_count=T.word_count(F.col("body")), char_count=F.length("body"), contains_lists=T.contains_lists(F.col("body")), stripped=T.strip(F.col("body")),
     ).drop("els", "sizes", "ranges")
-    each = body.select("*", F.posexplode_outer("parts").alias("n", "p")).where("n is not null").withColumn("chunk_number", F.col("n") + 1)
     titled = F.col("is_complete_section") & (F.col("stripped").isin(F.col("title")) | (F.col("stripped") == F.concat("number", F.lit(". "), "title")))
     if options.verb is not None:
         titled = titled & ~options.verb(F.col("body"))
     table = T.is_table_number(F.col("number"))
-    kind = F.when(table, "table").when(titled, "section_title").otherwise("section_content")
+    # a section's text stays behind: it would be copied for each of its chunks
+    body = settled(body, kind=F.when(table, "table").when(titled, "section_title").otherwise("section_content")).drop("body", "stripped")
+    each = body.select("*", F.posexplode_outer("parts").alias("n", "p")).where("n is not null").withColumn("chunk_number", F.col("n") + 1)
     return each.select(
         "doc_id", "section_idx", "chunk_number", chunk_key("doc_id", "section_idx", "chunk_number").alias("chunk_id"), F.col("p.content").alias("content"), F.col("number").alias("section_number"),
         "word_count", "char_count", "contains_lists", F.when(table, F.col("number")).alias("table_id"),
-        "is_complete_section", F.col("p.start_pos").alias("start_pos"), F.col("p.end_pos").alias("end_pos"), kind.alias("chunk_type"), F.expr("CASE WHEN para_first IS NOT NULL THEN sequence(para_first, para_last) END").alias("paragraph_indices"), *(["kept"] if "kept" in sections.columns else []),
+        "is_complete_section", F.col("p.start_pos").alias("start_pos"), F.col("p.end_pos").alias("end_pos"), F.col("kind").alias("chunk_type"), F.expr("CASE WHEN para_first IS NOT NULL THEN sequence(para_first, para_last) END").alias("paragraph_indices"), *(["kept"] if "kept" in sections.columns else []),
     )
 
 
@@ -68,7 +69,7 @@ def toc_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def toc_chunks(toc: DataFrame, most: int = 1000) -> DataFrame:
     """``doc_id, chunk_number, content``: whole lines, packed without overlap."""
-    rows = settled(settled(toc, sizes=F.transform("lines", F.length)), ranges=greedy.ranges("sizes", most, 0, join_in_test=True, cut=False))
+    rows = settled(toc, sizes=F.transform("lines", F.length)).withColumn("ranges", greedy.ranges("sizes", most, 0, join_in_test=True, cut=False))
     each = rows.select("doc_id", F.posexplode_outer(greedy.pieces("lines", "ranges")).alias("n", "p")).where("n is not null")
     return each.select("doc_id", (F.col("n") + 1).alias("chunk_number"), F.col("p.content").alias("content"), F.lit("toc").alias("chunk_type"), F.lit("0").alias("section_number"))
 
@@ -82,10 +83,11 @@ def virtual_chunks(sections: DataFrame, size: int = 1000, overlap: int = 200) ->
     leaves = sections.where((F.size("children") == 0) & F.col("parent_idx").isNotNull() & (F.length("content") <= size))
     grouped = leaves.groupBy("doc_id", "parent_idx", "parent_number").agg(F.array_sort(F.collect_list(F.struct("section_idx", "number", "content"))).alias("kids"))
     grouped = settled(grouped, texts="transform(kids, k -> k.content)", sizes="transform(kids, k -> length(k.content))")
-    grouped = settled(grouped, ranges=greedy.ranges("sizes", size, overlap, join_in_size=False, cut=False))
-    each = grouped.select("*", F.posexplode_outer(greedy.pieces("texts", "ranges", "\\n\\n")).alias("n", "p")).where("n is not null")
-    numbers = F.expr("transform(slice(kids, p.first + 1, p.last - p.first + 1), k -> k.number)")
-    return each.select("doc_id", "parent_idx", (F.col("n") + 1).alias("chunk_number"), F.col("p.content").alias("content"), numbers.alias("section_numbers"), F.col("parent_number").alias("parent_section"), (F.col("p.last") - F.col("p.first") + 1).alias("num_merged_sections"), F.length("p.content").alias("char_count"))
+    grouped = grouped.withColumn("ranges", greedy.ranges("sizes", size, overlap, join_in_size=False, cut=False))
+    # a group's arrays stay behind: they would be copied for each of its chunks
+    numbers = "transform(slice(kids, r.first + 1, r.last - r.first + 1), k -> k.number)"
+    each = grouped.select("doc_id", "parent_idx", "parent_number", F.posexplode_outer(greedy.pieces("texts", "ranges", "\\n\\n", numbers=numbers)).alias("n", "p")).where("n is not null")
+    return each.select("doc_id", "parent_idx", (F.col("n") + 1).alias("chunk_number"), F.col("p.content").alias("content"), F.col("p.numbers").alias("section_numbers"), F.col("parent_number").alias("parent_section"), (F.col("p.last") - F.col("p.first") + 1).alias("num_merged_sections"), F.length("p.content").alias("char_count"))
 
 
 def oversized_sections(sections: DataFrame, size: int = 1000) -> DataFrame:
