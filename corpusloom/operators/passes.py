@@ -168,3 +168,15 @@ def sections(lines: Column, caption_lines: int) -> Column:
     names = [("number", pa.binary()), ("title", pa.binary()), ("level", pa.int32()), ("parent_idx", pa.int32()), ("parent_number", pa.binary()), ("children", pa.list_(pa.binary())), ("tables", pa.list_(pa.binary())), ("content", pa.binary()), ("para_first", pa.int32()), ("para_last", pa.int32())]
     returns = "array<struct<number:binary,title:binary,level:int,parent_idx:int,parent_number:binary,children:array<binary>,tables:array<binary>,content:binary,para_first:int,para_last:int>>"
     return row_wise(one, returns, pa.list_(pa.struct(names)))(lines)
+
+
+def paths(titles: Column, parents: Column) -> Column:
+    """For each title the titles from the root down to it; a parent that doesn't come before its child counts as none."""
+
+    def one(titles: list[Any], parents: list[int | None]) -> list[list]:
+        found: list[list] = []
+        for title, up in zip(titles, parents):
+            found.append([*(found[up] if up is not None and 0 <= up < len(found) else ()), title])
+        return found
+
+    return row_wise(one, "array<array<binary>>", pa.list_(pa.list_(pa.binary())))(titles.cast("array<binary>"), parents).cast("array<array<string>>")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import passes
 from corpusloom.operators.hierarchy import settled
 
 #: Members of a family that share a copy of its numbers.
@@ -51,8 +52,7 @@ def section_paths(sections: DataFrame) -> DataFrame:
     """``doc_id, section_idx, path``: titles from the root down to the section."""
     rows = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_idx", "title", "parent_idx"))).alias("all"))
     # parents come before their children, and section_idx counts from 0 without a hole
-    fold = "aggregate(all, cast(array() AS array<array<string>>), (s, o) -> concat(s, array(concat(coalesce(get(s, o.parent_idx), cast(array() AS array<string>)), array(o.title)))))"
-    rows = settled(rows, paths=fold)
+    rows = rows.select("doc_id", passes.paths(F.col("all.title"), F.col("all.parent_idx")).alias("paths"))
     return rows.select("doc_id", F.posexplode_outer("paths").alias("section_idx", "path")).where("section_idx is not null")
 
 

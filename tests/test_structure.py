@@ -333,3 +333,10 @@ def test_context_of_many_siblings(spark):
 def test_merging_many_leaves(spark):
     few, many = _growth(lambda n: C.virtual_chunks(_flat(spark, n), 60, 20), 2000, 40_000)
     assert many < 8 * few + 1
+
+
+def test_paths_of_many_sections(spark):
+    few, many = _growth(lambda n: relations.section_paths(_flat(spark, n)), 2000, 16000)
+    assert many < 12 * few + 1
+    s = H.sections(docs(spark, "1. A\n1.1. B\n1.1. C\n2. D"))
+    assert [r.path for r in relations.section_paths(s).orderBy("section_idx").collect()] == [["A"], ["A", "B"], ["A", "B", "C"], ["D"]]
