@@ -180,3 +180,22 @@ def paths(titles: Column, parents: Column) -> Column:
         return found
 
     return row_wise(one, "array<array<binary>>", pa.list_(pa.list_(pa.binary())))(titles.cast("array<binary>"), parents).cast("array<array<string>>")
+
+
+def places(titles: Column, text: Column) -> Column:
+    """Where each title stands in the text, looked for from the place of the one before; if it isn't there, that one's place."""
+
+    def one(titles: list[bytes], text: bytes | None) -> list[int]:
+        found, at, missing = [], 0, set()
+        text = None if text is None else text.decode("utf-8", "surrogateescape")
+        for title in (t.decode("utf-8", "surrogateescape") for t in titles):
+            # what isn't there from an earlier place on isn't there from a later one
+            spot = -1 if text is None or title in missing else text.find(title, at)
+            if spot < 0:
+                missing.add(title)
+            else:
+                at = spot
+            found.append(at)
+        return found
+
+    return row_wise(one, "array<int>", pa.list_(pa.int32()))(titles.cast("array<binary>"), text.cast("binary"))

@@ -117,8 +117,7 @@ def section_positions(sections: DataFrame, docs: DataFrame, id_col: str = "doc_i
     """``doc_id, section_idx, level, start, end``: where each title stands in the text, from 0, looked for after the one before; if it isn't there, that one's place. The end is the content's length on, or 1000 without content."""
     each = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_idx", "level", "title", F.length("content").alias("size")))).alias("all"))
     rows = _matched(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), each, ["doc_id"], "inner")
-    fold = "aggregate(all, named_struct('at', 0, 'out', cast(array() AS array<int>)), (s, o) -> element_at(transform(array(locate(o.title, text, s.at + 1) - 1), p -> named_struct('at', CASE WHEN p < 0 THEN s.at ELSE p END, 'out', concat(s.out, array(CASE WHEN p < 0 THEN s.at ELSE p END)))), 1), s -> s.out)"
-    rows = settled(rows, starts=fold).drop("text")
+    rows = rows.select("doc_id", "all", passes.places(F.col("all.title"), F.col("text")).alias("starts"))
     one = rows.select("doc_id", F.posexplode_outer(F.arrays_zip("all", "starts")).alias("k", "z")).where("k is not null")
     size = F.when(F.coalesce(F.col("z.all.size"), F.lit(0)) > 0, F.col("z.all.size")).otherwise(F.lit(1000))
     return one.select("doc_id", F.col("z.all.section_idx").alias("section_idx"), F.col("z.all.level").alias("level"), F.col("z.starts").alias("start"), (F.col("z.starts") + size).alias("end"))

@@ -340,3 +340,11 @@ def test_paths_of_many_sections(spark):
     assert many < 12 * few + 1
     s = H.sections(docs(spark, "1. A\n1.1. B\n1.1. C\n2. D"))
     assert [r.path for r in relations.section_paths(s).orderBy("section_idx").collect()] == [["A"], ["A", "B"], ["A", "B", "C"], ["D"]]
+
+
+def test_positions_of_many_sections(spark):
+    text = lambda n: docs(spark, "\n".join(f"Head {k} " + "z" * 60 for k in range(n + 1))).select((F.col("doc_id") + 1).alias("doc_id"), "text")
+    few, many = _growth(lambda n: relations.section_positions(_flat(spark, n), text(n)), 2000, 16000)
+    assert many < 12 * few + 1
+    d = docs(spark, "1. Aé\n1.1.\n1.2. Aé\n2. C")
+    assert [r.start for r in relations.section_positions(H.sections(d), d).orderBy("section_idx").collect()] == [3, 3, 3, 22]
