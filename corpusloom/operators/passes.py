@@ -199,3 +199,29 @@ def places(titles: Column, text: Column) -> Column:
         return found
 
     return row_wise(one, "array<int>", pa.list_(pa.int32()))(titles.cast("array<binary>"), text.cast("binary"))
+
+
+def holders(ranges: Column) -> Column:
+    """For each number from 0 the greatest key of the ranges (key, first, last) that hold it, or null."""
+
+    def one(ranges: list[list[int]]) -> list[int | None]:
+        found: list[int | None] = [None] * (1 + max(ranges[2], default=-1))
+        onward = list(range(len(found) + 1))
+
+        def free(k: int) -> int:
+            """The first number from k on that has no key yet."""
+            end = k
+            while onward[end] != end:
+                end = onward[end]
+            while onward[k] != end:
+                onward[k], k = end, onward[k]
+            return end
+
+        for key, first, last in sorted(zip(*ranges), reverse=True):
+            k = free(first)
+            while k <= last:
+                found[k], onward[k] = key, k + 1
+                k = free(k + 1)
+        return found
+
+    return row_wise(one, "array<int>", pa.list_(pa.int32()))(ranges)

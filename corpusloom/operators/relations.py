@@ -58,8 +58,9 @@ def section_paths(sections: DataFrame) -> DataFrame:
 
 def paragraph_sections(sections: DataFrame, lines: DataFrame) -> DataFrame:
     """``doc_id, line_idx, section_idx``: of the sections whose range has the paragraph, the last one."""
-    held = sections.where("para_first is not null").select("doc_id", "section_idx", F.explode(F.sequence("para_first", "para_last")).alias("line_idx"))
-    last = held.groupBy("doc_id", "line_idx").agg(F.max("section_idx").alias("section_idx"))
+    # ranges overlap wherever lines are repeated, so they aren't written out
+    held = sections.where("para_first is not null").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("section_idx").alias("key"), F.col("para_first").alias("first"), F.col("para_last").alias("last"))).alias("ranges"))
+    last = held.select("doc_id", F.posexplode(passes.holders(F.col("ranges"))).alias("line_idx", "section_idx"))
     return _matched(lines.select("doc_id", "line_idx"), last, ["doc_id", "line_idx"])
 
 

@@ -348,3 +348,14 @@ def test_positions_of_many_sections(spark):
     assert many < 12 * few + 1
     d = docs(spark, "1. Aé\n1.1.\n1.2. Aé\n2. C")
     assert [r.start for r in relations.section_positions(H.sections(d), d).orderBy("section_idx").collect()] == [3, 3, 3, 22]
+
+
+def test_paragraphs_in_many_ranges(spark):
+    lines = spark.range(80_001).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("line_idx"))
+    began = time.time()
+    assert relations.paragraph_sections(_flat(spark, 80_000), lines).groupBy("section_idx").count().collect() == [(80_000, 80_001)]
+    assert time.time() - began < 20
+    ranges = [(7 * k % 40, 3 * k % 50, 3 * k % 50 + k % 9) for k in range(40)]
+    s = spark.createDataFrame([(1, *r) for r in ranges], "doc_id long, section_idx int, para_first int, para_last int")
+    found = {r.line_idx: r.section_idx for r in relations.paragraph_sections(s, lines.where("line_idx < 70")).collect()}
+    assert found == {i: max((k for k, a, b in ranges if a <= i <= b), default=None) for i in range(70)}
