@@ -28,12 +28,13 @@ def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     region, nation, supplier = (_read(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
     own = F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name", "s_acctbal")))
     kids = supplier.groupBy("s_nationkey").agg(own.alias("s"))
-    rows = nation.join(kids, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    # gathered rows look smaller than they are: unless told, the planner would send them all through the driver
+    rows = nation.join(kids.hint("merge"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
     per = rows.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", F.coalesce("s", F.expr("slice(s, 1, 0)")).alias("s")))).alias("n"))
     section = """concat(array(concat('1.', k + 1, '. ', x.n_name), concat('Nation ', x.n_nationkey)),
         flatten(transform(coalesce(x.s, array()), (y, j) -> array(concat('1.', k + 1, '.', j + 1, '. ', y.s_name), concat('Supplier ', y.s_suppkey)))))"""
     body = F.expr(f"array_join(flatten(transform(n, (x, k) -> {section})), '\\n')")
-    docs = region.join(per, F.col("r_regionkey") == F.col("n_regionkey"))
+    docs = region.join(per.hint("merge"), F.col("r_regionkey") == F.col("n_regionkey"))
     return docs.select(F.col("r_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("1. "), "r_name", F.lit("\n"), body).alias("text"))
 
 

@@ -16,8 +16,11 @@ FAMILY_PART = 256
 
 
 def _matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """A join on columns of one name, in which nulls are equal; the right side's other columns have names of their own."""
-    other = right.select(*(F.col(c).alias(f"_{c}" if c in on else c) for c in right.columns))
+    """A join on columns of one name, in which nulls are equal; the right side's other columns have names of their own.
+
+    Neither side goes through the driver: what is gathered from documents or found in them looks smaller to the planner than it is.
+    """
+    other = right.select(*(F.col(c).alias(f"_{c}" if c in on else c) for c in right.columns)).hint("merge")
     joined = left.join(other, reduce(lambda a, b: a & b, (left[c].eqNullSafe(other[f"_{c}"]) for c in on)), how)
     return joined.drop(*(f"_{c}" for c in on))
 
@@ -28,7 +31,7 @@ def section_context(sections: DataFrame) -> DataFrame:
     told = F.struct("section_idx", "number", "parent_number", "children")
     families = sections.where("parent_idx IS NOT NULL").groupBy("doc_id", "parent_idx").agg(F.array_sort(F.collect_list(told)).alias("family"))
     parents = sections.where(F.size("children") > 0).select("doc_id", F.col("section_idx").alias("parent_idx"), F.col("title").alias("parent_title"))
-    rows = _matched(families.hint("merge"), parents, ["doc_id", "parent_idx"])
+    rows = _matched(families, parents, ["doc_id", "parent_idx"])
     parts = rows.select("doc_id", "parent_title", F.expr("transform(family, o -> o.number)").alias("numbers"), F.posexplode(F.expr(f"transform(sequence(0, (size(family) - 1) div {FAMILY_PART}), p -> slice(family, p * {FAMILY_PART} + 1, {FAMILY_PART}))")).alias("part", "members"))
     # a number of partitions that stays: by bytes, all of them would be one task's
     many = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))

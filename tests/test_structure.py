@@ -328,6 +328,7 @@ def test_context_of_many_siblings(spark):
     assert all(r.siblings == [n for n in numbers if n != r.number] for r in found if r.section_idx) and len(found) == 601
     plan = catalog.section_context(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan  # which would give each member a copy of its family
+    assert "BroadcastExchange" not in plan  # which would send what is gathered through the driver
 
 
 def test_merging_many_leaves(spark):
